@@ -12,7 +12,7 @@ it holds at least ``SHARE`` as many of them as the item. Items are taken in bloc
 broadcast and gathered: a block's words times the rank.
 
 Defined cases: null and empty texts, and items without words, match nothing. Of equal items each is reported. Repeated
-rows get the same findings. Other columns stay; ValueError is raised where one would clash with those that are added.
+rows get the same findings. Other columns stay, but one named leaks is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.columns import without
 from termweave.llm.wordspans import NOT_ALNUM, Lookup, chunks, words
 
 PASSAGE = 64
@@ -240,15 +241,14 @@ class Searcher:
         return out
 
 
-def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows with leaks: array of (item_id, lcs_share, cosine) of the items that the text holds, by place in the benchmark; null text: empty."""
-    if "leaks" in docs.columns:
-        raise ValueError("column leaks is there already")
+def search(docs: DataFrame, benchmark: DataFrame, leaks: str = "leaks") -> DataFrame:
+    """The rows with leaks: an array of (item_id, lcs_share, cosine) of the items that the text holds, by place in the benchmark; null text: empty."""
+    docs = without(docs, leaks)
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     blocks = max(1, -(-rows.count() // BLOCK))
     kind = "array<struct<item_id: long, lcs_share: double, cosine: double>>"
-    out = docs.withColumn("leaks", F.lit(None).cast(kind))
+    out = docs.withColumn(leaks, F.lit(None).cast(kind))
     for b in range(blocks):
         some = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         items = prepare([(r["item_id"], r["text"]) for r in some.orderBy("item_id", "text").collect()])
@@ -256,8 +256,8 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         space = latent(*statistics(docs, items), test_matrix(items.size))
         shared = spark.sparkContext.broadcast((items, space))
-        out = out.withColumn("leaks", F.concat(F.coalesce("leaks", F.array().cast(kind)), _finder(shared, kind)("text")))
-    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(kind)))
+        out = out.withColumn(leaks, F.concat(F.coalesce(leaks, F.array().cast(kind)), _finder(shared, kind)("text")))
+    return out.withColumn(leaks, F.coalesce(leaks, F.array().cast(kind)))
 
 
 def _finder(shared, kind: str):

@@ -7,7 +7,7 @@ about ``SAMPLE_DOCS`` documents of each language, of at most ``SAMPLE_CHARS`` ch
 
 Defined cases: a null text and one without a letter are ``und`` with score 0; so is every text if nothing was learned.
 Ties go to the language that sorts first. Documents with null lang teach nothing. Repeated rows get the same answer.
-Other columns stay; ValueError is raised where one would clash with those that are added.
+Other columns stay, but those named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave.llm.columns import fresh, without
 from termweave.llm.wordspans import _BYTES, _STEP, CHUNK, NOT_LETTER, Lookup, chunks, mix, powers, words
 
 SAMPLE_DOCS = 150
@@ -224,9 +225,15 @@ def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE_DOCS, most
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The rows with lang_pred and score; one pass, no shuffle. The model's size is bounded by vocabulary times languages."""
-    if clash := {"lang_pred", "score", "_pred"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = without(docs, "lang_pred", "score")
+    pred = fresh(docs, "_pred")
+    found = docs.withColumn(pred, judge(docs.sparkSession, model)("text"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(pred)["lang_pred"].alias("lang_pred"), F.col(pred)["score"].alias("score"))
+
+
+def judge(spark: SparkSession, model: Model):
+    """A function from text to (lang_pred, score)."""
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
@@ -235,5 +242,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    judge = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
-    return docs.withColumn("_pred", judge("text")).select(*docs.columns, "_pred.lang_pred", "_pred.score")
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()

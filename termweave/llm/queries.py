@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, decontam, htmltext, langid, licenses, lmscore, simhash, substringdedup, urlfilter
+from termweave.llm import ann, bpe, decontam, htmltext, langid, licenses, lmscore, simhash, substringdedup, urlfilter
 from termweave.session import read_table
 
 #: The fixed public vocabulary of BPE and of language identification.
@@ -50,6 +50,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(read_table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 7, 2))
 
@@ -58,7 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_decontamination, op3_substring_dedup, op4_url_filter, op5_html_extraction,
-        op6_byte_bpe, op7_simhash_near_dedup, op8_language_id, op10_lm_score,
+        op6_byte_bpe, op7_simhash_near_dedup, op8_language_id, op9_nearest_neighbours, op10_lm_score,
     )
 }
 ORACLE: dict[str, str] = {"op1_license_scan": licenses.oracle()}

@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.columns import fresh
 from termweave.llm.components import components
-from termweave.llm.wordspans import Words, chunks, words
+from termweave.llm.wordspans import Words, chunks, mix, words
 from termweave.session import written
 
 #: A perfect difference set modulo 13; its shifts are the lines of the projective plane of order 3.
@@ -110,3 +111,112 @@ def near_groups(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
     reach = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = written(rooted.join(reach, "root").select("fp", "component_id"), "labels")
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- near copies by similarity ----------------------------------------------------------------------------------------
+#: Sixteen odd numbers that give as many independent sets of bits.
+SALTS = [0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(16)]
+CENTRES = 4
+
+
+def word_fingerprints(texts: pa.Array, sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each text's word sequence, and its fingerprints over words weighted by the root of their number."""
+    same, out = np.zeros(len(texts), np.uint64), np.zeros((len(texts), sets), np.uint64)
+    for lo, hi in chunks(texts):
+        w = words(texts.slice(lo, hi - lo))
+        data, start, end = spaced(w)
+        n = w.counts()
+        last = np.cumsum(n)
+        same[lo:hi] = [xxhash.xxh64_intdigest(data[start[b - k] : end[b - 1]] if k else b"", SEED) for b, k in zip(last.tolist(), n.tolist())]
+        h = w.hashes()
+        order = np.lexsort((h, w.doc))
+        h, doc = h[order], w.doc[order]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+        weight = np.sqrt(np.diff(np.append(first, len(h)))).astype(np.float32)
+        h, doc = h[first], doc[first]
+        starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(h) else first
+        for k in range(sets if len(h) else 0):
+            bits = np.unpackbits(mix(h ^ np.uint64(SALTS[k])).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total = np.add.reduceat((bits.astype(np.float32) * 2 - 1) * weight[:, None], starts, axis=0)
+            out[lo + doc[starts], k] = np.packbits(total > 0, axis=1, bitorder="little").view("<u8")[:, 0]
+    return same, out
+
+
+def _word_udf(sets: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            same, fps = word_fingerprints(texts, sets)
+            bounds = pa.array(np.arange(len(texts) + 1) * sets, pa.int32())
+            yield pa.StructArray.from_arrays([pa.array(same.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(fps.ravel().view(np.int64)))], ["same", "fps"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "same long, fps array<long>").asNondeterministic()
+
+
+def _shingle_udf(size: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for lo, hi in chunks(texts):
+                h, have = shingle_hashes(texts.slice(lo, hi - lo), size)
+                out += [np.unique(x.astype(np.uint32)).view(np.int32) for x in np.split(h, np.cumsum(have)[:-1])]
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<int>").asNondeterministic()
+
+
+def _close(values: DataFrame) -> DataFrame:
+    """values: s, fp, node, one row for each s and fp. a, b: nodes within two bits, by way of up to CENTRES nodes of each group around a common value."""
+    masked = lines()
+    keep = [~sum(1 << b for b in bits) & (2**64 - 1) for bits in masked]
+    signed = [k - (1 << 64) if k >> 63 else k for k in keep]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(k)).alias("key")) for t, k in enumerate(signed)])
+    rows = values.select("s", "fp", "node", F.explode(keys).alias("k")).select("s", "fp", "node", "k.t", "k.key")
+    full = written(rows.groupBy("s", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select("s", "t", "key"), "buckets")
+    members = rows.join(full, ["s", "t", "key"], "left_semi")
+    flips = F.element_at(F.create_map(*[F.lit(x) for t, bits in enumerate(masked) for x in (t, [0, *[(1 << b) - (1 << 64) if b == 63 else 1 << b for b in bits]])]), F.col("t"))
+    near = members.select("s", "node", F.explode(flips).alias("flip"), "fp").select("s", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"), F.struct((F.col("flip") != 0).alias("off"), "node").alias("m"))
+    # at most 65 fingerprints lie within one bit of a value, the one that equals it first
+    groups = near.groupBy("s", "near").agg(F.array_sort(F.collect_set("m")).alias("all")).where("size(all) > 1")
+    pairs = groups.select(F.explode("all").alias("x"), F.slice("all", 1, CENTRES).alias("c")).select(F.col("x.node").alias("x"), F.explode("c.node").alias("c"))
+    return pairs.where("x <> c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b"))
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: int = 8) -> DataFrame:
+    """doc_id, text_hash, group_id (its smallest doc_id), first (whether the row's doc_id and text are the group's representative).
+
+    Candidates agree in all but two bits of one of ``sets`` fingerprints over words; they are linked if the sets of
+    their word shingles have at least this Jaccard similarity. Texts of equal words are one node throughout.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_udf(sets)("text").alias("w"))
+    rows = written(rows.select("doc_id", "text_hash", F.col("w.same").alias("node"), F.col("w.fps").alias("fps")), "fingerprints")
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("fps").alias("fps")), "nodes")
+    each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
+    least = written(each.groupBy("s", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
+    equal = each.join(least.where("n > 1"), ["s", "fp"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = written(equal.unionByName(_close(least.select("s", "fp", F.col("least").alias("node")))).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(ends, "node").select("node", "row.doc_id", "row.text_hash").distinct()
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+    texts = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))).groupBy("node").agg(F.min("text").alias("text"))
+    sets_ = written(texts.select("node", _shingle_udf(size)("text").alias("h")), "shingles")
+    both = pairs.join(sets_.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets_.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = written(components(linked), "components")
+    rooted = nodes.join(found, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("row").alias("first"), F.min("row.doc_id").alias("group_id"))
+    labels = written(rooted.join(first, "root").select("node", "first", "group_id"), "labels")
+    out = rows.join(labels, "node")
+    return out.select("doc_id", "text_hash", "group_id", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("first"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: int = 8) -> DataFrame:
+    """One row of each group of near copies: that of the smallest doc_id; of repeated rows one."""
+    d, t = fresh(docs, "_d"), fresh(docs, "_t")
+    first = near_copies(docs, size, similarity, sets).where("first").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    keyed = docs.withColumns({fresh(docs, "_k"): F.xxhash64("text")})
+    k = keyed.columns[-1]
+    both = keyed.join(first, keyed["doc_id"].eqNullSafe(first[d]) & (keyed[k] == first[t]), "left_semi")
+    return both.dropDuplicates(["doc_id", k]).drop(k)

@@ -10,8 +10,8 @@ grouping at most once from each batch.
 
 Defined cases: a null text has no sentences and stays null; the empty text stays empty; texts without a repeated span
 stay byte for byte. Rows with the same doc_id and text count as one document and are treated alike; null doc_ids sort
-first. Case of A-Z and the kind of white space don't matter to a match. Other columns stay; ValueError is raised where
-one would clash with those that are added.
+first. Case of A-Z and the kind of white space don't matter to a match. Other columns stay, but
+one named n_removed is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave.llm.columns import fresh, without
 from termweave.llm.wordspans import _STEP, Words, chunks, mix, powers, words
 
 MIN_WORDS = 20
@@ -118,10 +119,9 @@ def cover(text: str, numbers: np.ndarray, min_words: int) -> tuple[str, int]:
     return (data[: edge[0]] + b"".join([data[a:b] for a, b, g in zip(edge, edge[1:], gone) if not g])).decode(), int(gone.sum())
 
 
-def dedupe(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows with repeated passages taken out of text, and n_removed: sentences taken out."""
-    if clash := {"n_removed", "_text"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, count: str = "n_removed") -> DataFrame:
+    """The rows with repeated passages taken out of text, and how many sentences those were."""
+    docs = without(docs, count)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, numbers in batches:
@@ -134,8 +134,9 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     doc, text_hash = _key()
-    keyed = docs.withColumns({"_doc": doc, "_text_hash": text_hash})
+    a, b, done = (fresh(docs, c) for c in ("_doc", "_text_hash", "_done"))
+    keyed = docs.withColumns({a: doc, b: text_hash})
     found = repeated(docs, min_words)
-    both = keyed.join(found, (keyed["_doc"] == found["doc"]) & (keyed["_text_hash"] == found["text_hash"]), "left")
-    both = both.select(*[keyed[f"`{c}`"] for c in docs.columns], F.arrow_udf(run, "text string, n long").asNondeterministic()(keyed["text"], found["numbers"]).alias("_text"))
-    return both.select(*[F.col("_text.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_text.n").alias("n_removed"))
+    both = keyed.join(found, (keyed[a] == found["doc"]) & (keyed[b] == found["text_hash"]), "left")
+    both = both.select(*[keyed[f"`{c}`"] for c in docs.columns], F.arrow_udf(run, "text string, n long").asNondeterministic()(keyed["text"], found["numbers"]).alias(done))
+    return both.select(*[F.col(done)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col(done)["n"].alias(count))

@@ -4,8 +4,8 @@ The model is trained on the driver from a small labelled URL table (``LABEL_LIMI
 ``DIMS`` weights; judging is one pass over the urls without a shuffle.
 
 Defined cases: a null url, and one without ``://``, has an empty host and path, fits no rule and is judged by the model
-like any other. Repeated rows are judged alike. Other columns of the input stay; ``judge`` raises ValueError where one
-would clash with its own.
+like any other. Repeated rows are judged alike. Other columns of the input stay, but those that
+bear the name of a column that ``judge`` adds are replaced by it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.columns import fresh, without
+
 DIMS = 1 << 14
 LABEL_LIMIT = 100_000
 
@@ -118,8 +120,8 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 def judge(pages: DataFrame, labels: Sequence[tuple[str | None, int]] | None = None, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """The rows with host, path, rule, score (the model's probability of unwanted) and verdict (allow or block)."""
-    if clash := {"host", "path", "rule", "score", "verdict"} & set(pages.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    pages = without(pages, *({"host", "path", "rule", "score", "verdict"} - {url}))
+    action_ = fresh(pages, "_action")
     model = train(default_labels() if labels is None else labels)
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -129,5 +131,5 @@ def judge(pages: DataFrame, labels: Sequence[tuple[str | None, int]] | None = No
 
     rows = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
     which, action = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": which, "score": F.pandas_udf(score, "double")("host", "path"), "_action": action})
-    return rows.withColumn("verdict", F.coalesce("_action", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("_action")
+    rows = rows.withColumns({"rule": which, "score": F.pandas_udf(score, "double")("host", "path"), action_: action})
+    return rows.withColumn("verdict", F.coalesce(action_, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop(action_)
