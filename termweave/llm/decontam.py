@@ -8,7 +8,8 @@ that space is at least ``COSINE``. A candidate is contaminated if the longest co
 ``WHOLE`` of the item, or, as a paraphrase, ``PART`` of it and ``ANSWER`` of its answer, which is its last sentence.
 
 The latent space has the benchmark's words only, without those in over ``STOP`` of the items; a window is looked at if
-it holds at least ``SHARE`` as many of them as the item. Items are taken in blocks of ``BLOCK``, which bounds what is
+it holds at least ``SHARE`` as many of them as the item, and compared word by word if, with its margins, at least ``OWN``
+as many of the item's own. Items are taken in blocks of ``BLOCK``, which bounds what is
 broadcast and gathered: a block's words times the rank.
 
 Defined cases: null and empty texts, and items without words, match nothing. Of equal items each is reported. Repeated
@@ -35,6 +36,7 @@ RANK, EXTRA = 24, 8
 COSINE = 0.6
 STOP = 0.08
 SHARE = 0.6
+OWN = 0.5
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 BLOCK = 2_000
 #: Features that go into one row of the partial sums.
@@ -191,7 +193,9 @@ class Searcher:
             which = np.flatnonzero((bucket == b) & (self.n_features > 0))
             if len(which):
                 self.groups[int(np.median(size[which]))] = which
-        self.bare = np.flatnonzero(self.n_features == 0)
+        self.own = np.zeros((len(items.ids), max(1, items.size)), bool)
+        for i, f in enumerate(items.features):
+            self.own[i, f] = True
 
     def candidates(self, w, h: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(text, item, first word, cosine): the best window of each run of windows that pass."""
@@ -221,7 +225,14 @@ class Searcher:
             value = cos[k, i]
             best = np.lexsort((-value, run))
             best = best[np.concatenate(([True], run[best][1:] != run[best][:-1]))]
-            yield from zip(doc[some[k[best]]].tolist(), which[i[best]].tolist(), start[best].tolist(), value[best].tolist())
+            row, item, start, value = some[k[best]], which[i[best]], start[best], value[best]
+            # how many of the item's own words stand in the window and its margins
+            first, last = np.searchsorted(at, start - length // 2), np.searchsorted(at, start + length + length // 2)
+            n = last - first
+            each = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            hit = self.own[np.repeat(item, n), f[at[each]]] & (doc[each] == np.repeat(doc[row], n))
+            full = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) >= OWN * self.n_features[item]
+            yield from zip(doc[row[full]].tolist(), item[full].tolist(), start[full].tolist(), value[full].tolist())
 
     def __call__(self, texts: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
