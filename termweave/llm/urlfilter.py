@@ -44,14 +44,14 @@ def default_labels() -> list[tuple[str, int]]:
     rng = np.random.Generator(np.random.PCG64(7))
     ends, fronts = ("com", "net", "org"), ("", "www.", "blog.", "m.")
     tails = ("/", "/en/{}", "/fr/{}.html", "/de/{}?page=2", "/es/{}/", "/en/{}#top")
-    bad = [(a, b) for a in UNWANTED for b in (*rng.choice(UNWANTED, 3), "x", "online")]
-    good = ["".join(rng.choice(PAIRS, k)) for k in rng.integers(2, 5, len(bad))]
-    good[::4] = [f"{a}{b}" for a, b in zip(rng.choice(WANTED, len(good[::4])), rng.choice(["", "-online", "-news", "s"], len(good[::4])))]
+    bad = [f"{a}-{b}" for a in UNWANTED for b in (*rng.choice(UNWANTED, 5), "x", "online")] + [f"{b}{a}" for a in UNWANTED for b in rng.choice(UNWANTED, 3)]
+    good = ["".join(rng.choice(PAIRS, k)) for k in rng.integers(2, 6, len(bad))]
+    good[::3] = [f"{a}{b}" for a, b in zip(rng.choice(WANTED, len(good[::3])), rng.choice(["", "-online", "-news", "s", "-x"], len(good[::3])))]
     out = []
-    for names, label in (([f"{a}-{b}" for a, b in bad], 1), (good, 0)):
-        for i, name in enumerate(names):
-            tail = tails[int(rng.integers(len(tails)))].format(int(rng.integers(1, 1000)))
-            out.append((f"https://{fronts[int(rng.integers(4))]}{name}.{('example.' if i % 2 else '')}{ends[int(rng.integers(3))]}{tail}", label))
+    for i, both in enumerate(zip(bad, good)):
+        # an unwanted and an ordinary host share all else, so only the name tells them apart
+        front, end, tail = fronts[int(rng.integers(4))], ends[int(rng.integers(3))], tails[int(rng.integers(len(tails)))].format(int(rng.integers(1, 1000)))
+        out += [(f"https://{front}{name}.{'example.' if i % 2 else ''}{end}{tail}", 1 - k) for k, name in enumerate(both)]
     return out
 
 
@@ -81,7 +81,7 @@ def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     for kind, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
         grams = {kind + text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)}
         at += [zlib.crc32(g.encode("utf-8", "replace")) % DIMS for g in sorted(grams)]
-        value += [len(grams) ** -0.5] * len(grams)
+        value += [max(1, len(grams)) ** -0.5] * len(grams)
     return np.array(at, np.int64), np.array(value)
 
 
