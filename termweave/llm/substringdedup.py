@@ -2,7 +2,7 @@
 
 A text is divided into sentences (after . ! ? and at line breaks); sentences of over ``LONG`` words are divided further
 after words chosen by their own hash, so that the places don't depend on what stands around a passage. From every
-sentence runs the shortest span of at least two sentences and ``MIN_WORDS`` words. Spans are hashed and grouped over all
+sentence runs the shortest span of at least two sentences and ``MIN_WORDS`` words, and another such ends with the text. Spans are hashed and grouped over all
 documents, and every sentence that a span covers which isn't the first with its hash, by doc_id and then place, goes.
 
 Each task removes repeats among its own spans first, so a passage that stands in a third of all rows reaches the
@@ -46,27 +46,37 @@ def sentences(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1])), ends
 
 
-def spans(w: Words, h: np.ndarray, first: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each sentence from which a span runs: its number, that of the span's last sentence, and the span's hash."""
+#: Added to the number of a sentence whose span runs to the end of the text.
+TO_END = 1 << 30
+
+
+def spans(w: Words, h: np.ndarray, first: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each span: its first and last sentence, whether it is its text's last one, and its hash."""
     n = len(first)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64)
     text_end = np.searchsorted(w.doc, w.doc[first], "right")
     least = np.maximum(np.append(end[1:], len(w.doc) + 1), first + min_words)
     last = np.searchsorted(end, least, "left")
     ok = (last < n) & (least <= text_end)
     ok[ok] = end[last[ok]] <= text_end[ok]
     at = np.flatnonzero(ok)
-    last = last[at]
+    # the last sentences of a text, where no span from a sentence ends with it
+    final = np.flatnonzero(end == text_end)
+    begin = np.minimum(np.searchsorted(first, end[final] - min_words, "right") - 1, final - 1)
+    fits = (begin >= 0) & (w.doc[first[begin]] == w.doc[first[final]])
+    fits[fits] &= ~(ok[begin[fits]] & (last[begin[fits]] == final[fits]))
+    tail = np.concatenate([np.zeros(len(at), bool), np.ones(int(fits.sum()), bool)])
+    at, last = np.concatenate([at, begin[fits]]), np.concatenate([last[at], final[fits]])
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(len(h)))))
     back = np.full(len(h) + 1, _BACK)
     back[0] = 1
     back = np.multiply.accumulate(back)
     a, b = first[at], end[last]
-    return at, last, mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
+    return at, last, tail, mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
 
 
-def _cut(texts: pa.Array, min_words: int) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _cut(texts: pa.Array, min_words: int) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for lo, hi in chunks(texts):
         w = words(texts.slice(lo, hi - lo))
         h = w.hashes()
@@ -79,7 +89,7 @@ def _find(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, text = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "text_hash"))
-            found = [(lo + w.doc[first[at]], at - begins[w.doc[first[at]]], h) for lo, w, first, _, begins, at, _, h in _cut(batch.column("text"), min_words)]
+            found = [(lo + w.doc[first[at]], at - begins[w.doc[first[at]]] + tail * TO_END, h) for lo, w, first, _, begins, at, _, tail, h in _cut(batch.column("text"), min_words)]
             row, number, h = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
             order = np.lexsort((number, text[row], doc[row], h))
             row, number, h = row[order], number[order], h[order].astype(np.uint64)
@@ -108,9 +118,9 @@ def _key() -> tuple:
 
 def cover(text: str, numbers: np.ndarray, min_words: int) -> tuple[str, int]:
     """The text without the sentences that the spans starting at these sentences cover, and how many those are."""
-    (_, w, first, end, _, at, last, _), *_ = _cut(pa.array([text]), min_words)
+    (_, w, first, end, _, at, last, tail, _), *_ = _cut(pa.array([text]), min_words)
     gone = np.zeros(len(first) + 1, np.int64)
-    hit = np.isin(at, numbers)
+    hit = np.isin(at + tail * TO_END, numbers)
     np.add.at(gone, at[hit], 1)
     np.add.at(gone, last[hit] + 1, -1)
     gone = np.cumsum(gone)[:-1] > 0
