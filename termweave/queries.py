@@ -59,7 +59,7 @@ BASE = (O.RELEASES, O.seeds(SEEDS))
 
 
 @query(_with(*BASE) + """, k AS (SELECT relid, count(*) AS k FROM td0 GROUP BY 1), m AS (SELECT term, count(*) AS m, count(*) FILTER (WHERE k = 1) AS u FROM td0 JOIN k USING (relid) GROUP BY 1)
-SELECT pos AS n, term AS seed_term, coalesce(m, 0) AS releases_matched, coalesce(u, 0) AS unique_to_this_seed, coalesce(m, 0) * 100.0::DOUBLE / (SELECT count(*) FROM docs) AS pct_of_window FROM seeds LEFT JOIN m USING (term)""")
+SELECT pos AS n, term AS seed_term, coalesce(m, 0) AS releases_matched, coalesce(u, 0) AS unique_to_this_seed, coalesce(m, 0) * 100.0::DOUBLE / (SELECT greatest(1, count(*)) FROM docs) AS pct_of_window FROM seeds LEFT JOIN m USING (term)""")
 def seed_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     seeds = spark.createDataFrame([(k, t) for k, t in enumerate(SEEDS, 1)], "n int, term string")
@@ -165,7 +165,7 @@ def discovered_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TWO + """, f AS (SELECT relid, min(round) AS r FROM td2 GROUP BY 1) SELECT t.round, t.n AS terms_added, coalesce(g.n, 0) AS new_releases_found, sum(coalesce(g.n, 0)) OVER (ORDER BY t.round) AS cumulative_releases,
-sum(coalesce(g.n, 0)) OVER (ORDER BY t.round) * 100.0::DOUBLE / (SELECT count(*) FROM docs) AS pct_of_window FROM (SELECT round, count(*) AS n FROM terms2 GROUP BY 1) t LEFT JOIN (SELECT r, count(*) AS n FROM f GROUP BY 1) g ON g.r = t.round""")
+sum(coalesce(g.n, 0)) OVER (ORDER BY t.round) * 100.0::DOUBLE / (SELECT greatest(1, count(*)) FROM docs) AS pct_of_window FROM (SELECT round, count(*) AS n FROM terms2 GROUP BY 1) t LEFT JOIN (SELECT r, count(*) AS n FROM f GROUP BY 1) g ON g.r = t.round""")
 def round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _expand(spark, sf_dir, 2)
     return publish.round_summary(e.terms, e.term_docs, e.window_n)
