@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SHARE = 0.6
 OWN = 0.5
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 BLOCK = 2_000
+#: Items whose lengths differ by up to this factor share windows of their median length.
+STRETCH = 1.2
 #: Features that go into one row of the partial sums.
 ROW = 256
 
@@ -124,7 +127,7 @@ def statistics(docs: DataFrame, items: Items) -> tuple[int, np.ndarray, np.ndarr
             for lo, hi in chunks(texts):
                 count += _gather(texts.slice(lo, hi - lo), lookup, size, omega, df, sketch)
         if count:
-            salt = np.random.default_rng().integers(0, 32)
+            salt = TaskContext.get().partitionId() % 32  # the same if the task runs again
             blocks = range(0, size, ROW)
             out = [np.concatenate([df[lo : lo + ROW, None], sketch[lo : lo + ROW]], 1).astype(np.float64).tobytes() for lo in blocks] + [np.float64(count).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([*range(len(out))], pa.int32()), pa.array([salt] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["block", "salt", "sums"])
@@ -188,7 +191,7 @@ class Searcher:
         self.size, self.n_features = size, np.array([len(f) for f in items.features])
         #: Items of about equal length share their windows.
         self.groups: dict[int, np.ndarray] = {}
-        bucket = np.round(np.log(np.maximum(size, 1)) / np.log(1.12)).astype(int)
+        bucket = np.round(np.log(np.maximum(size, 1)) / np.log(STRETCH)).astype(int)
         for b in np.unique(bucket):
             which = np.flatnonzero((bucket == b) & (self.n_features > 0))
             if len(which):
@@ -205,16 +208,19 @@ class Searcher:
             return
         doc = w.doc[at]
         text_end = np.searchsorted(w.doc, doc, "right")
-        total = np.concatenate((np.zeros((1, self.space.shape[1])), np.cumsum(self.space[f[at]], 0, dtype=np.float64)))
+        total = np.zeros((len(at) + 1, self.space.shape[1]), np.float32)
+        np.cumsum(self.space[f[at]], 0, out=total[1:])
         for length, which in self.groups.items():
             end = np.searchsorted(at, np.minimum(at + length, text_end))
             some = np.flatnonzero(end - np.arange(len(at)) >= SHARE * self.n_features[which].min())
             if not len(some):
                 continue
-            x = (total[end[some]] - total[some]).astype(np.float32)
-            cos = (x @ self.unit[which].T) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            full = (end[some] - some)[:, None] >= SHARE * self.n_features[which]
-            k, i = np.nonzero((cos >= self.cosine) & full)
+            x = total[end[some]] - total[some]
+            norm = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x), 1e-24))
+            dot = x @ self.unit[which].T
+            k, i = np.divmod(np.flatnonzero(dot >= (self.cosine * norm)[:, None]), len(which))
+            full = (end[some] - some)[k] >= SHARE * self.n_features[which[i]]
+            k, i = k[full], i[full]
             if not len(k):
                 continue
             order = np.lexsort((k, i))
@@ -222,7 +228,7 @@ class Searcher:
             start = at[some[k]]
             new = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[some[k[1:]]] != doc[some[k[:-1]]]) | (start[1:] - start[:-1] > length // 2)))
             run = np.cumsum(new) - 1
-            value = cos[k, i]
+            value = dot[k, i] / norm[k]
             best = np.lexsort((-value, run))
             best = best[np.concatenate(([True], run[best][1:] != run[best][:-1]))]
             row, item, start, value = some[k[best]], which[i[best]], start[best], value[best]
