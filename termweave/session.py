@@ -32,6 +32,9 @@ def share_code(spark: SparkSession) -> None:
 
     Elsewhere ship the package with ``--py-files``; the extra entry does no harm there.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        # rows hold whole documents: smaller batches keep workers and executors small; a setting of the user's own stays
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "").split(os.pathsep)
     if _HOME not in path:
