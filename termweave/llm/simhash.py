@@ -86,13 +86,18 @@ def fingerprint_udf(size: int, seed: int = SEED):
     return F.arrow_udf(run, "long").asNondeterministic()
 
 
+def _spread(values: DataFrame) -> DataFrame:
+    """The rows over all partitions: a small table sits in few files, and each row becomes many."""
+    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def links(values: DataFrame) -> DataFrame:
     """values: distinct fp (long). src, dst: links that connect exactly those within two bits, dst the smallest of those around a common value."""
     masked = lines()
     keep = [~sum(1 << b for b in bits) & (2**64 - 1) for bits in masked]
     signed = [k - (1 << 64) if k >> 63 else k for k in keep]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(k)).alias("key")) for t, k in enumerate(signed)])
-    rows = values.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
+    rows = _spread(values).select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     full = written(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key"), "buckets")
     members = rows.join(full, ["t", "key"], "left_semi")
     flips = F.element_at(F.create_map(*[F.lit(x) for t, bits in enumerate(masked) for x in (t, [0, *[(1 << b) - (1 << 64) if b == 63 else 1 << b for b in bits]])]), F.col("t"))
@@ -176,7 +181,7 @@ def _close(values: DataFrame) -> DataFrame:
     keep = [~sum(1 << b for b in bits) & (2**64 - 1) for bits in masked]
     signed = [k - (1 << 64) if k >> 63 else k for k in keep]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(k)).alias("key")) for t, k in enumerate(signed)])
-    rows = values.select("s", "fp", "node", F.explode(keys).alias("k")).select("s", "fp", "node", "k.t", "k.key")
+    rows = _spread(values).select("s", "fp", "node", F.explode(keys).alias("k")).select("s", "fp", "node", "k.t", "k.key")
     full = written(rows.groupBy("s", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select("s", "t", "key"), "buckets")
     members = rows.join(full, ["s", "t", "key"], "left_semi")
     flips = F.element_at(F.create_map(*[F.lit(x) for t, bits in enumerate(masked) for x in (t, [0, *[(1 << b) - (1 << 64) if b == 63 else 1 << b for b in bits]])]), F.col("t"))
