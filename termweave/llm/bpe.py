@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from termweave.llm.wordspans import Lookup
 
 LONG = 1024
-#: Distinct pieces that a worker keeps between batches; a matter of memory, not of results.
-KEEP = 400_000
+#: Distinct pieces that a task keeps between batches; a matter of memory, not of results.
+KEEP = 300_000
 NONE = np.int32(2**31 - 1)
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -58,9 +58,9 @@ class Codec:
         left, right = np.array([*pairs], np.uint64).reshape(-1, 2).T
         self.pairs = Lookup(left << np.uint64(32) | right, np.array([*pairs.values()], np.int32))
         self.pair = pairs
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number, self.flat, self.size, self.known = _Numbered(), [], np.zeros(0, np.int64), 0
         self.ids = np.zeros(0, np.int32)
 
@@ -147,7 +147,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text."""
         if len(self.number) > KEEP:
-            self._forget()
+            self.forget()
         numbers = [np.array(list(map(self.number.__getitem__, self.split.findall(t or ""))), np.int64) for t in texts]
         if len(self.number) > self.known:
             fresh = [p.encode() for p in list(self.number)[self.known :]]
@@ -203,5 +203,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     columns.append(pa.array([x.tolist() for x in found], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
                 lo = hi
+        c.forget()  # the worker may go on to other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
