@@ -4,7 +4,7 @@ One pass over all documents counts, in passages of ``PASSAGE`` words, in how man
 the Gram matrix of the passages times a random matrix. From these comes a randomised singular value decomposition
 (Nystroem's, which needs no second pass) of the TF-IDF matrix of passages, whose first right vectors span the latent
 space. A second pass slides windows of each item's length over every text and keeps those whose cosine to the item in
-that space is at least ``COSINE``. A candidate is contaminated if the longest common subsequence of words covers
+that space is at least ``COSINE``; each of these is a candidate until one of its run is accepted. It is contaminated if the longest common subsequence of words covers
 ``WHOLE`` of the item, or, as a paraphrase, ``PART`` of it and ``ANSWER`` of its answer, which is its last sentence.
 
 The latent space has the benchmark's words only, without those in over ``STOP`` of the items; a window is looked at if
@@ -42,6 +42,8 @@ WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 BLOCK = 2_000
 #: Items whose lengths differ by up to this factor share windows of their median length.
 STRETCH = 1.2
+#: Windows whose words are looked at together; a matter of memory, not of results.
+AT_ONCE = 4_096
 #: Features that go into one row of the partial sums.
 ROW = 256
 
@@ -200,8 +202,8 @@ class Searcher:
         for i, f in enumerate(items.features):
             self.own[i, f] = True
 
-    def candidates(self, w, h: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(text, item, first word, cosine): the best window of each run of windows that pass."""
+    def candidates(self, w, h: np.ndarray) -> Iterator[tuple[tuple[int, int], int, int, int, float]]:
+        """(run, text, item, first word, cosine): every window that passes, run by run, the best first."""
         f = self.items.lookup(h)
         at = np.flatnonzero(f >= 0)
         if not len(at):
@@ -229,16 +231,17 @@ class Searcher:
             new = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[some[k[1:]]] != doc[some[k[:-1]]]) | (start[1:] - start[:-1] > length // 2)))
             run = np.cumsum(new) - 1
             value = dot[k, i] / norm[k]
-            best = np.lexsort((-value, run))
-            best = best[np.concatenate(([True], run[best][1:] != run[best][:-1]))]
-            row, item, start, value = some[k[best]], which[i[best]], start[best], value[best]
-            # how many of the item's own words stand in the window and its margins
-            first, last = np.searchsorted(at, start - length // 2), np.searchsorted(at, start + length + length // 2)
-            n = last - first
-            each = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            hit = self.own[np.repeat(item, n), f[at[each]]] & (doc[each] == np.repeat(doc[row], n))
-            full = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) >= OWN * self.n_features[item]
-            yield from zip(doc[row[full]].tolist(), item[full].tolist(), start[full].tolist(), value[full].tolist())
+            order = np.lexsort((-value, run))
+            for lo in range(0, len(order), AT_ONCE):
+                best = order[lo : lo + AT_ONCE]
+                row, item, begin, cos, number = some[k[best]], which[i[best]], start[best], value[best], run[best]
+                # how many of the item's own words stand in the window and its margins
+                first, last = np.searchsorted(at, begin - length // 2), np.searchsorted(at, begin + length + length // 2)
+                n = last - first
+                each = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                hit = self.own[np.repeat(item, n), f[at[each]]] & (doc[each] == np.repeat(doc[row], n))
+                full = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) >= OWN * self.n_features[item]
+                yield from (((length, r), *x) for r, *x in zip(number[full].tolist(), doc[row[full]].tolist(), item[full].tolist(), begin[full].tolist(), cos[full].tolist()))
 
     def __call__(self, texts: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -247,12 +250,22 @@ class Searcher:
             h = w.hashes()
             begin, end = np.searchsorted(w.doc, np.arange(hi - lo), "left"), np.searchsorted(w.doc, np.arange(hi - lo), "right")
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            for d, i, start, cos in self.candidates(w, h):
+            now, done, seen = None, False, []
+            for run, d, i, start, cos in self.candidates(w, h):
+                if run != now:
+                    now, done, seen = run, False, []
                 n = int(self.size[i])
+                # a window moved by k words shares at most k words more, so near a poor one none is enough
+                if done or any(shared + abs(start - s) < PART * n for s, shared in seen):
+                    continue
                 window = h[max(begin[d], start - n // 2) : min(end[d], start + n + n // 2)]
-                share = common(self.items.seq[i], window) / n
+                shared = common(self.items.seq[i], window)
+                share = shared / n
                 if share >= WHOLE or share >= PART and common(self.items.answer[i], window) >= ANSWER * len(self.items.answer[i]):
                     best[d, i] = max(best.get((d, i), (0.0, 0.0)), (share, cos))
+                    done = True
+                elif share < PART:
+                    seen.append((start, shared))
             for (d, i), (share, cos) in sorted(best.items()):
                 out[lo + d].append({"item_id": self.items.ids[i], "lcs_share": share, "cosine": float(cos)})
         return out

@@ -210,6 +210,18 @@ def test_decontamination(spark, odd, none, real):
     assert decontam.report(none, bench).count() == 0 and decontam.report(odd, bench.limit(0)).count() == 0
 
 
+def test_every_window_of_a_run(spark):
+    r = random.Random(77)
+    bench, rows = [], []
+    for i in range(12):
+        item = [f"w{i}x{k}" for k in range(40)]
+        mixed = r.sample(item, 40)
+        bench.append((i, " ".join(item)))
+        rows += [(2 * i, prose(i, 60) + " " + " ".join(item + mixed) + " " + prose(i + 50, 60)), (2 * i + 1, prose(i, 60) + " " + " ".join(mixed * 3 + item) + " " + prose(i + 50, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.report(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()} == {(d, d // 2) for d in range(24)}
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(40 + i, 40)) for i in range(9)], "item_id long, text string")
     docs = spark.createDataFrame([(i, prose(90, 100) + " " + prose(40 + i, 40)) for i in range(9)], "doc_id long, text string")
