@@ -7,7 +7,8 @@ space. A second pass slides windows of each item's length over every text and ke
 that space is at least ``COSINE``; each of these is a candidate until one of its run is accepted. It is contaminated if the longest common subsequence of words covers
 ``WHOLE`` of the item, or, as a paraphrase, ``PART`` of it and ``ANSWER`` of its answer, which is its last sentence.
 
-The latent space has the benchmark's words only, without those in over ``STOP`` of the items; a window is looked at if
+The latent space has the benchmark's words only, without those in over ``STOP`` of the distinct items, but always with
+the ``RAREST`` rarest words of each; a window is looked at if
 it holds at least ``SHARE`` as many of them as the item, and compared word by word if, with its margins, at least ``OWN``
 as many of the item's own. Items are taken in blocks of ``BLOCK``, which bounds what is
 broadcast and gathered: a block's words times the rank.
@@ -38,6 +39,8 @@ COSINE = 0.6
 STOP = 0.08
 SHARE = 0.6
 OWN = 0.5
+#: So many words of every item are features however many items they are in, so that each item is searched.
+RAREST = 8
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 BLOCK = 2_000
 #: Items whose lengths differ by up to this factor share windows of their median length.
@@ -77,11 +80,13 @@ def prepare(rows: list[tuple[int, str]]) -> Items:
     rows = [(i, t) for i, t in rows if t and len(hashes(t))]
     seq = [hashes(t) for _, t in rows]
     df: dict[int, int] = {}
-    for s in seq:
-        for h in np.unique(s).tolist():
+    distinct = [np.unique(s).tolist() for s in {s.tobytes(): s for s in seq}.values()]
+    for words_ in distinct:
+        for h in words_:
             df[h] = df.get(h, 0) + 1
-    most = max(2, STOP * len(rows))
-    vocabulary = np.array(sorted(h for h, n in df.items() if n <= most), np.uint64)
+    most = max(2, STOP * len(distinct))
+    rarest = {h for words_ in distinct for h in sorted(words_, key=lambda h: (df[h], h))[:RAREST]}
+    vocabulary = np.array(sorted(h for h, n in df.items() if n <= most or h in rarest), np.uint64)
     lookup = Lookup(vocabulary, np.arange(len(vocabulary), dtype=np.int32))
     features = [f[f >= 0] for f in map(lookup, seq)]
     return Items([i for i, _ in rows], seq, [hashes(answer_of(t)) for _, t in rows], features, lookup, len(vocabulary))

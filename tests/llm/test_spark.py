@@ -222,6 +222,16 @@ def test_every_window_of_a_run(spark):
     assert {(x.doc_id, x.item_id) for x in decontam.report(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()} == {(d, d // 2) for d in range(24)}
 
 
+def test_every_item_is_searched(spark):
+    once = [(i, prose(200 + i, 40)) for i in range(20)]
+    variants = [(100 + k, f"{prose(300, 40)} ending{k}") for k in range(8)]  # all words but one are in over STOP of the items
+    for items in (once + [(50 + k, once[0][1]) for k in range(4)], once[:1] * 3 + once[1:3], once + variants):
+        docs = [(i, f"{prose(400, 60)} {t} {prose(401, 60)}") for i, t in dict(items).items()]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        found = {(r.doc_id, r.item_id) for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+        assert {(i, i) for i, _ in items} <= found
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, prose(40 + i, 40)) for i in range(9)], "item_id long, text string")
     docs = spark.createDataFrame([(i, prose(90, 100) + " " + prose(40 + i, 40)) for i in range(9)], "doc_id long, text string")
