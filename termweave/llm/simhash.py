@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from termweave.llm.columns import fresh
 from termweave.llm.components import components
 from termweave.llm.wordspans import Words, chunks, mix, words
-from termweave.session import written
+from termweave.session import remove, written
 
 #: A perfect difference set modulo 13; its shifts are the lines of the projective plane of order 3.
 LINE, POINTS = (0, 1, 3, 9), 13
@@ -122,6 +122,8 @@ def near_groups(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
 #: Sixteen odd numbers that give as many independent sets of bits.
 SALTS = [0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(16)]
 CENTRES = 4
+#: One text in SAMPLE tells which shingles are frequent, and so many of these are named; neither changes the results.
+SAMPLE, FREQUENT = 16, 1 << 16
 
 
 def word_fingerprints(texts: pa.Array, sets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +177,115 @@ def _shingle_udf(size: int):
     return F.arrow_udf(run, "array<int>").asNondeterministic()
 
 
+def _distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each distinct shingle of each text, as joined from its words' hashes, and its row; in order of row and hash."""
+    w = words(texts)
+    h, n = w.hashes(), w.counts()
+    have = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+    first = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(n)), have)
+    at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
+    end = (first + n)[row]
+    out = np.zeros(len(row), np.uint64)
+    for k in range(size):
+        there = at + k < end
+        out[there] = mix(out[there] * np.uint64(3) + h[at[there] + k])
+    order = np.lexsort((out, row))
+    out, row = out[order], row[order]
+    new = np.concatenate(([True], (out[1:] != out[:-1]) | (row[1:] != row[:-1]))) if len(out) else np.zeros(0, bool)
+    return out[new], row[new]
+
+
+def prefixes(texts: pa.Array, size: int, similarity: float, frequent: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the first of its n distinct shingles, rare ones before frequent ones, their row, and n of each text.
+
+    Two texts of at least this similarity share at least similarity * n shingles of either one. So, whatever the order,
+    they share one among the first n - ceil(similarity * n) + 1 of each.
+    """
+    parts: tuple[list, list, list] = ([], [], [])
+    for lo, hi in chunks(texts):
+        h, row = _distinct_shingles(texts.slice(lo, hi - lo), size)
+        n = np.bincount(row, minlength=hi - lo)
+        often = np.zeros(len(h), np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+            often = np.where(frequent[at] == h, count[at], 0)
+        order = np.lexsort((h, often, row))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+        keep = place < take[row]
+        for part, x in zip(parts, (h[order][keep], lo + row[keep], n)):
+            part.append(x)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+
+
+def _distinct_udf(size: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = [np.zeros(0, np.uint64)]
+            bounds = [np.zeros(1, np.int64)]
+            for lo, hi in chunks(texts):
+                h, row = _distinct_shingles(texts.slice(lo, hi - lo), size)
+                bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(row, minlength=hi - lo)))
+                out.append(h)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<long>").asNondeterministic()
+
+
+def _prefix_udf(size: int, similarity: float, shared):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            h, row, n = prefixes(texts, size, similarity, *shared.value)
+            bounds = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+            yield pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64)))], ["n", "tokens"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "n int, tokens array<long>").asNondeterministic()
+
+
+def _frequent(docs: DataFrame, size: int):
+    """Broadcast: the most frequent shingles of a sample of the texts, in order, and their numbers."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.explode(_distinct_udf(size)("text")).alias("h"))
+    top = some.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return docs.sparkSession.sparkContext.broadcast((h[order], top["c"].to_numpy(np.int64)[order]))
+
+
+def _complete(members: DataFrame, linked: DataFrame, check, similarity: float) -> DataFrame:
+    """members: token, node, n, the groups of nodes that share a shingle of their prefixes; linked: src, dst so far; check: pairs a, b to those that are near. All links' components.
+
+    Each round compares a few centres of every group with all members that no link has joined to them yet, then drops
+    these centres from the group, and groups that are in one component. So at the end each pair of a group has been
+    compared or is joined by other links. Centres double each round, so that few rounds do.
+    """
+    found = written(components(linked), "components")
+    k = CENTRES
+    while True:
+        rooted = members.join(found, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+        left = written(rooted.join(mixed, "token", "left_semi"), "members")
+        remove(members)
+        if not left.limit(1).count():
+            remove(left)
+            return found
+        centres = left.groupBy("token", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(k)).alias("salt")).agg(F.min(F.struct("node", "n", "root")).alias("c"))
+        centres = written(centres.select("token", F.col("c.node").alias("cn"), F.col("c.n").alias("m"), F.col("c.root").alias("croot")), "centres")
+        near = left.join(centres, "token").where((F.col("root") != F.col("croot")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-6))
+        new = written(check(written(near.select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct(), "pairs")), "links")
+        if new.limit(1).count():
+            linked = linked.unionByName(new)
+            remove(found)
+            found = written(components(linked), "components")
+        used = centres.select("token", F.col("cn").alias("node"))
+        members = written(left.join(used, ["token", "node"], "left_anti").select("token", "node", "n"), "members")
+        remove(left)
+        remove(centres)
+        k *= 2
+
+
 def _close(values: DataFrame) -> DataFrame:
     """values: s, fp, node, one row for each s and fp. a, b: nodes within two bits, by way of up to CENTRES nodes of each group around a common value."""
     masked = lines()
@@ -195,25 +306,35 @@ def _close(values: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: int = 8) -> DataFrame:
     """doc_id, text_hash, group_id (its smallest doc_id), first (whether the row's doc_id and text are the group's representative).
 
-    Candidates agree in all but two bits of one of ``sets`` fingerprints over words; they are linked if the sets of
-    their word shingles have at least this Jaccard similarity. Texts of equal words are one node throughout.
+    Texts are linked if the sets of their word shingles have at least this Jaccard similarity. First candidates agree in
+    all but two bits of one of ``sets`` fingerprints over words. Then all that share a shingle of their prefixes, as any
+    two of this similarity do, are compared unless links join them already, so no link between groups is missed. Texts
+    of equal words are one node throughout.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_udf(sets)("text").alias("w"))
-    rows = written(rows.select("doc_id", "text_hash", F.col("w.same").alias("node"), F.col("w.fps").alias("fps")), "fingerprints")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("fps").alias("fps")), "nodes")
+    shared = _frequent(docs, size)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_udf(sets)("text").alias("w"), _prefix_udf(size, similarity, shared)("text").alias("p"))
+    rows = written(rows.select("doc_id", "text_hash", F.col("w.same").alias("node"), F.col("w.fps").alias("fps"), F.col("p.n").alias("n"), F.col("p.tokens").alias("tokens")), "fingerprints")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("tokens").alias("tokens"))
+    nodes = written(nodes, "nodes")
+    token = nodes.select("node", "n", F.explode("tokens").alias("token"))
+    several = token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    members = written(token.join(several, "token", "left_semi").select("token", "node", "n"), "members")
     each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
     least = written(each.groupBy("s", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
     equal = each.join(least.where("n > 1"), ["s", "fp"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     pairs = written(equal.unionByName(_close(least.select("s", "fp", F.col("least").alias("node")))).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     wanted = nodes.join(ends, "node").select("node", "row.doc_id", "row.text_hash").distinct()
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     texts = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))).groupBy("node").agg(F.min("text").alias("text"))
     sets_ = written(texts.select("node", _shingle_udf(size)("text").alias("h")), "shingles")
-    both = pairs.join(sets_.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets_.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = written(components(linked), "components")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets_.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets_.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    found = _complete(members, written(check(pairs), "links"), check, similarity)
     rooted = nodes.join(found, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("row").alias("first"), F.min("row.doc_id").alias("group_id"))
     labels = written(rooted.join(first, "root").select("node", "first", "group_id"), "labels")

@@ -180,6 +180,25 @@ def test_near_copies(spark, odd, none):
     assert simhash.keep_first(none).count() == 0
 
 
+def test_near_copies_of_every_kind(spark):
+    texts, r = [], random.Random(3)
+    for k in range(60):
+        base = prose(500 + k, 300).split()
+        texts += [base, base + r.choices(base, k=r.randint(10, 60)), base[: r.randint(250, 290)], base[: 150] + r.choices(base, k=20) + base[150:]]
+    for k in range(40):  # a large group of variants: each is near its neighbours only
+        texts.append([f"v{j}" for j in range(20 * k, 20 * k + 400)])
+    r.shuffle(texts)
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                root = [root[j] if v == root[i] else v for v in root]
+    least = {v: min(i for i, u in enumerate(root) if u == v) for v in set(root)}
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert {x.doc_id: x.group_id for x in simhash.near_copies(df).collect()} == {i: least[v] for i, v in enumerate(root)}
+
+
 def test_substring_dedup(spark, odd, none):
     passage = prose(20, 80)
     rows = [(1, "Start here. " + passage + " End."), (2, "Other words begin this, and " + passage + " stop"), (3, prose(21, 200)), (4, passage), (4, passage)]
