@@ -101,11 +101,16 @@ def _nearest(k: int):
         if len(q) and len(x):
             (_, a), (_, b) = next(_matrices(q)), next(_matrices(x))
             qid, xid = (t.column("id").to_numpy() for t in (queries, rows))
+            order = np.argsort(xid, kind="stable")
+            b, xid = b[order], xid[order]
+            ids = np.flatnonzero(np.concatenate(([True], xid[1:] != xid[:-1])))
             for lo in range(0, len(a), 256):
                 part = a[lo : lo + 256]
                 rough = (part**2).sum(1)[:, None] + (b**2).sum(1) - 2 * part @ b.T
                 rough[qid[lo : lo + 256, None] == xid] = np.inf
-                near = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+                # ids with several vectors count once, so the limit holds k different ids
+                least = rough if len(ids) == len(xid) else np.minimum.reduceat(rough, ids, axis=1)
+                near = np.partition(least, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
                 limit = near + 1e-9 * (1 + np.abs(near))
                 for i in range(len(part)):
                     some = np.flatnonzero(np.isfinite(rough[i]) & (rough[i] <= limit[i]))
@@ -140,7 +145,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES
         top = max(top, asked.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("n")).agg(F.max("n")).first()[0] or 0.0)
     # vectors travel as they came; float32 holds what float32 columns held
     kind = "array<float>" if dict(rows.dtypes).get("embedding") == "array<float>" else "array<double>"
-    indexed = written(data.select("id", F.col("v").cast(kind).alias("v"), F.size("v").alias("d"), codes_udf(tables, 1, top)("v").alias("codes")), "indexed")
+    indexed = written(data.distinct().select("id", F.col("v").cast(kind).alias("v"), F.size("v").alias("d"), codes_udf(tables, 1, top)("v").alias("codes")), "indexed")
     sizes = indexed.select("d", F.explode("codes").alias("code")).groupBy("d", "code").agg(F.count("*").alias("n"))
     # one row for each signed axis of each table and number of components
     sizes = written(sizes.select("d", "code", F.ceil(F.col("n") / cell).cast("int").alias("parts")), "sizes")

@@ -316,6 +316,19 @@ def as_rows(df):
     return collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in df.collect())
 
 
+def test_neighbours_among_repeated_rows(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal(8)
+    x = [base + (0.05 if i < 25 else 2.0) * r.standard_normal(8) for i in range(80)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(12)] + [(i, (x[i] + 0.001 * j).tolist()) for i in range(25) for j in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, spark.createDataFrame([(999, base.tolist())], df.schema)).collect()
+    least = {}
+    for i, v in rows:
+        least[i] = min(least.get(i, math.inf), float(np.linalg.norm(np.array(v) - base)))
+    assert [g.vec_id for g in sorted(got, key=lambda g: g.rank)] == sorted(least, key=least.get)[:10]
+
+
 def test_lm_score(spark, real, odd, none):
     out = langid.held_out(F.col("doc_id"), 7, 2)
     full = queries.op10_lm_score(spark, SF)
