@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.columns import fresh
@@ -121,66 +121,16 @@ def near_groups(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
 # -- near copies by similarity ----------------------------------------------------------------------------------------
 #: Sixteen odd numbers that give as many independent sets of bits.
 SALTS = [0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(16)]
-CENTRES = 4
+SETS, CENTRES = 4, 4
 #: One text in SAMPLE tells which shingles are frequent, and so many of these are named; neither changes the results.
 SAMPLE, FREQUENT = 16, 1 << 16
+#: Rows up to which a table of ids is broadcast; of 16 bytes each, beside what a hash table adds.
+BROADCAST_IDS = 500_000
 
 
-def word_fingerprints(texts: pa.Array, sets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each text's word sequence, and its fingerprints over words weighted by the root of their number."""
-    same, out = np.zeros(len(texts), np.uint64), np.zeros((len(texts), sets), np.uint64)
-    for lo, hi in chunks(texts):
-        w = words(texts.slice(lo, hi - lo))
-        data, start, end = spaced(w)
-        n = w.counts()
-        last = np.cumsum(n)
-        same[lo:hi] = [xxhash.xxh64_intdigest(data[start[b - k] : end[b - 1]] if k else b"", SEED) for b, k in zip(last.tolist(), n.tolist())]
-        h = w.hashes()
-        order = np.lexsort((h, w.doc))
-        h, doc = h[order], w.doc[order]
-        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
-        weight = np.round(1024 * np.sqrt(np.diff(np.append(first, len(h)))))  # whole numbers, whose sums don't depend on their order
-        h, doc = h[first], doc[first]
-        starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(h) else first
-        ends = np.append(starts[1:], len(h))
-        parts = [weight[a:b] for a, b in zip(starts, ends)]
-        half = np.array([[p.sum() / 2] for p in parts])
-        for k in range(sets if len(h) else 0):
-            bits = np.unpackbits(mix(h ^ np.uint64(SALTS[k])).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            # a text's words at a time, so that what is added stays in the processor's cache
-            total = np.stack([part @ bits[a:b] for a, b, part in zip(starts, ends, parts)])
-            out[lo + doc[starts], k] = np.packbits(total > half, axis=1, bitorder="little").view("<u8")[:, 0]
-    return same, out
-
-
-def _word_udf(sets: int):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            same, fps = word_fingerprints(texts, sets)
-            bounds = pa.array(np.arange(len(texts) + 1) * sets, pa.int32())
-            yield pa.StructArray.from_arrays([pa.array(same.view(np.int64)), pa.ListArray.from_arrays(bounds, pa.array(fps.ravel().view(np.int64)))], ["same", "fps"])
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "same long, fps array<long>").asNondeterministic()
-
-
-def _shingle_udf(size: int):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = []
-            for lo, hi in chunks(texts):
-                h, have = shingle_hashes(texts.slice(lo, hi - lo), size)
-                out += [np.unique(x.astype(np.uint32)).view(np.int32) for x in np.split(h, np.cumsum(have)[:-1])]
-            yield pa.array(out, pa.list_(pa.int32()))
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<int>").asNondeterministic()
-
-
-def _distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each distinct shingle of each text, as joined from its words' hashes, and its row; in order of row and hash."""
-    w = words(texts)
-    h, n = w.hashes(), w.counts()
+def _shingles(w: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each distinct shingle of each text, as joined from its words' hashes, and its row; in order of row and hash."""
+    n = w.counts()
     have = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     first = np.cumsum(n) - n
     row = np.repeat(np.arange(len(n)), have)
@@ -196,70 +146,201 @@ def _distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarr
     return out[new], row[new]
 
 
-def prefixes(texts: pa.Array, size: int, similarity: float, frequent: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the first of its n distinct shingles, rare ones before frequent ones, their row, and n of each text.
+def word_fingerprints(w: Words, h: np.ndarray, sets: int) -> np.ndarray:
+    """Each text's fingerprints over words weighted by the root of their number; zero without words."""
+    out = np.zeros((len(w.bounds) - 1, sets), np.uint64)
+    order = np.lexsort((h, w.doc))
+    h, doc = h[order], w.doc[order]
+    if not len(h):
+        return out
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+    weight = np.round(1024 * np.sqrt(np.diff(np.append(first, len(h)))))  # whole numbers, whose sums don't depend on their order
+    h, doc = h[first], doc[first]
+    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    ends = np.append(starts[1:], len(h))
+    parts = [weight[a:b] for a, b in zip(starts, ends)]
+    half = np.array([[p.sum() / 2] for p in parts])
+    for k in range(sets):
+        bits = np.unpackbits(mix(h ^ np.uint64(SALTS[k])).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # a text's words at a time, so that what is added stays in the processor's cache
+        total = np.stack([part @ bits[a:b] for a, b, part in zip(starts, ends, parts)])
+        out[doc[starts], k] = np.packbits(total > half, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def odd_bits(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each text a bitmap of about as many bits as it has shingles: which bits an odd number of them fall on."""
+    width = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.cumsum(width) - width
+    at = first[row] + (mix(h ^ np.uint64(SALTS[-1])) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=int(width.sum())).astype(np.int64) & 1 > 0, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(first.tolist(), (first + width).tolist())]
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many shingles two texts differ at least, by their bitmaps: each differing bit needs one."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), 8 * len(a)
+    while n > 8 * len(b):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def may_be_near(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """False only if texts of n and m shingles can't have the similarity: then they'd differ in at most (n + m)(1 - s) / (1 + s)."""
+    return min(n, m) >= similarity * max(n, m) - 1e-9 and least_difference(a, b) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def prefixes(h: np.ndarray, row: np.ndarray, n: np.ndarray, similarity: float, frequent: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the first of its n distinct shingles, rare ones before frequent ones, their row, and whether they are frequent.
 
     Two texts of at least this similarity share at least similarity * n shingles of either one. So, whatever the order,
     they share one among the first n - ceil(similarity * n) + 1 of each.
     """
-    parts: tuple[list, list, list] = ([], [], [])
+    often = np.zeros(len(h), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        often = np.where(frequent[at] == h, count[at], 0)
+    order = np.lexsort((h, often, row))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    keep = place < take[row]
+    return h[order][keep], row[keep], often[order][keep] > 0
+
+
+PROFILE = "node long, fps array<long>, n int, bits binary, rare array<long>, hot array<long>"
+
+
+def profiles(texts: pa.Array, size: int, similarity: float, sets: int, frequent: np.ndarray, count: np.ndarray) -> pa.StructArray:
+    """What near_copies needs of each text: a hash of its word sequence, fingerprints, number of shingles, bitmap, prefix."""
+    node, fps, sizes, bits = [], [], [], []
+    tokens: tuple[tuple[list, list], tuple[list, list]] = (([], []), ([], []))
     for lo, hi in chunks(texts):
-        h, row = _distinct_shingles(texts.slice(lo, hi - lo), size)
+        w = words(texts.slice(lo, hi - lo))
+        wh = w.hashes()
+        data, start, end = spaced(w)
+        k = w.counts()
+        node += [xxhash.xxh64_intdigest(data[start[b - a] : end[b - 1]] if a else b"", SEED) for b, a in zip(np.cumsum(k).tolist(), k.tolist())]
+        fps.append(word_fingerprints(w, wh, sets))
+        h, row = _shingles(w, wh, size)
         n = np.bincount(row, minlength=hi - lo)
-        often = np.zeros(len(h), np.int64)
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-            often = np.where(frequent[at] == h, count[at], 0)
-        order = np.lexsort((h, often, row))
-        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-        keep = place < take[row]
-        for part, x in zip(parts, (h[order][keep], lo + row[keep], n)):
-            part.append(x)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
-
-
-def _distinct_udf(size: int):
+        sizes.append(n)
+        bits += odd_bits(h, row, n)
+        h, row, often = prefixes(h, row, n, similarity, frequent, count)
+        for (at, values), some in zip(tokens, (~often, often)):
+            at.append(np.bincount(row[some], minlength=hi - lo))
+            values.append(h[some])
+
+    def joined(parts: list, kind: type) -> np.ndarray:
+        return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+    lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(joined(at, np.int64)))), pa.int32()), pa.array(joined(values, np.uint64).view(np.int64))) for at, values in tokens]
+    flat = pa.array(joined([x.ravel() for x in fps], np.uint64).view(np.int64))
+    each = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * sets, pa.int32()), flat)
+    return pa.StructArray.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), each, pa.array(joined(sizes, np.int64).astype(np.int32)), pa.array(bits, pa.binary()), *lists], ["node", "fps", "n", "bits", "rare", "hot"])
+
+
+def _profile_udf(size: int, similarity: float, sets: int, shared):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = [np.zeros(0, np.uint64)]
-            bounds = [np.zeros(1, np.int64)]
-            for lo, hi in chunks(texts):
-                h, row = _distinct_shingles(texts.slice(lo, hi - lo), size)
-                bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(row, minlength=hi - lo)))
-                out.append(h)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
+            yield profiles(texts, size, similarity, sets, *shared.value)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<long>").asNondeterministic()
+    return F.arrow_udf(run, PROFILE).asNondeterministic()
+
 
+def _shingle_udf(size: int):
+    """Text to the hashes of its distinct shingles."""
 
-def _prefix_udf(size: int, similarity: float, shared):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            h, row, n = prefixes(texts, size, similarity, *shared.value)
-            bounds = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
-            yield pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(h.view(np.int64)))], ["n", "tokens"])
+            out, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+            for lo, hi in chunks(texts):
+                w = words(texts.slice(lo, hi - lo))
+                h, row = _shingles(w, w.hashes(), size)
+                bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(row, minlength=hi - lo)))
+                out.append(h)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "n int, tokens array<long>").asNondeterministic()
+    return F.arrow_udf(run, "array<long>").asNondeterministic()
 
 
 def _frequent(docs: DataFrame, size: int):
     """Broadcast: the most frequent shingles of a sample of the texts, in order, and their numbers."""
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.explode(_distinct_udf(size)("text")).alias("h"))
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(F.explode(_shingle_udf(size)("text")).alias("h"))
     top = some.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return docs.sparkSession.sparkContext.broadcast((h[order], top["c"].to_numpy(np.int64)[order]))
 
 
-def _complete(members: DataFrame, linked: DataFrame, check, similarity: float) -> DataFrame:
-    """members: token, node, n, the groups of nodes that share a shingle of their prefixes; linked: src, dst so far; check: pairs a, b to those that are near. All links' components.
+def _members(rows: DataFrame) -> DataFrame:
+    """token, node, n: shingles of prefixes that several nodes have. Frequent ones pass as they are, so no group that is gathered here is large."""
+    rare = rows.select("node", "n", F.explode("rare").alias("token"))
+    group = Window.partitionBy("token")
+    rare = rare.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi").select("token", "node", "n")
+    return rare.unionByName(rows.select(F.explode("hot").alias("token"), "node", "n")).distinct()
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+class _Verifier:
+    """Which candidate pairs are near: those whose bitmaps allow it are compared by their sets of shingles."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> None:
+        self.docs, self.size, self.similarity = docs, size, similarity
+        self.marks = nodes.select("node", "n", "bits")
+        self.rows = nodes.select("node", "row.doc_id", "row.text_hash")
+        self.sets: DataFrame | None = None
+
+    def _allowed(self):
+        similarity = self.similarity
+
+        def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([may_be_near(*x, similarity) for x in zip(*(c.to_pylist() for c in batch))], pa.bool_())
+
+        run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "boolean")
+
+    def _add(self, wanted: DataFrame) -> None:
+        """Sets of the nodes wanted that aren't there yet."""
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = written(self.rows.join(wanted, "node"), "wanted")
+        texts = self.docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+        texts = texts.join(_sized(wanted), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))).select("node", "text")
+        # rows that repeat give a node twice
+        more = written(texts.select("node", _shingle_udf(self.size)("text").alias("h")).groupBy("node").agg(F.min("h").alias("h")), "shingles")
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        remove(wanted)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """pairs: a, b. src, dst of those that are near, written."""
+        a, b = (self.marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+        may = written(pairs.join(a, "a").join(b, "b").where(self._allowed()("bitsa", "bitsb", "na", "nb")).select("a", "b"), "allowed")
+        ends = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
+        self._add(ends)
+        x, y = self.sets.select(F.col("node").alias("a"), F.col("h").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        near = may.join(x, "a").join(y, "b").where(shared >= F.lit(self.similarity) * (F.size("x") + F.size("y") - shared))
+        out = written(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+        remove(may)
+        return out
+
+
+def _complete(members: DataFrame, linked: DataFrame, check: _Verifier, similarity: float) -> DataFrame:
+    """members: token, node, n, the groups of nodes that share a shingle of their prefixes; linked: src, dst so far. All links' components.
 
     Each round compares a few centres of every group with all members that no link has joined to them yet, then drops
     these centres from the group, and groups that are in one component. So at the end each pair of a group has been
-    compared or is joined by other links. Centres double each round, so that few rounds do.
+    compared or is joined by other links. Centres multiply each round, so that few rounds do.
     """
     found = written(components(linked), "components")
     k = CENTRES
@@ -274,16 +355,18 @@ def _complete(members: DataFrame, linked: DataFrame, check, similarity: float) -
         centres = left.groupBy("token", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(k)).alias("salt")).agg(F.min(F.struct("node", "n", "root")).alias("c"))
         centres = written(centres.select("token", F.col("c.node").alias("cn"), F.col("c.n").alias("m"), F.col("c.root").alias("croot")), "centres")
         near = left.join(centres, "token").where((F.col("root") != F.col("croot")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-6))
-        new = written(check(written(near.select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct(), "pairs")), "links")
+        pairs = written(near.select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct(), "pairs")
+        new = check(pairs)
         if new.limit(1).count():
-            linked = linked.unionByName(new)
+            old = found.select(F.col("node").alias("src"), F.col("root").alias("dst"))  # stars that say the same as all links so far
+            more = written(components(old.unionByName(new)), "components")
             remove(found)
-            found = written(components(linked), "components")
+            found = more
         used = centres.select("token", F.col("cn").alias("node"))
         members = written(left.join(used, ["token", "node"], "left_anti").select("token", "node", "n"), "members")
-        remove(left)
-        remove(centres)
-        k *= 2
+        for done in (left, centres, pairs, new):
+            remove(done)
+        k *= 4
 
 
 def _close(values: DataFrame) -> DataFrame:
@@ -294,7 +377,7 @@ def _close(values: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(k)).alias("key")) for t, k in enumerate(signed)])
     rows = _spread(values).select("s", "fp", "node", F.explode(keys).alias("k")).select("s", "fp", "node", "k.t", "k.key")
     full = written(rows.groupBy("s", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select("s", "t", "key"), "buckets")
-    members = rows.join(full, ["s", "t", "key"], "left_semi")
+    members = rows.join(_sized(full), ["s", "t", "key"], "left_semi")
     flips = F.element_at(F.create_map(*[F.lit(x) for t, bits in enumerate(masked) for x in (t, [0, *[(1 << b) - (1 << 64) if b == 63 else 1 << b for b in bits]])]), F.col("t"))
     near = members.select("s", "node", F.explode(flips).alias("flip"), "fp").select("s", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"), F.struct((F.col("flip") != 0).alias("off"), "node").alias("m"))
     # at most 65 fingerprints lie within one bit of a value, the one that equals it first
@@ -303,38 +386,26 @@ def _close(values: DataFrame) -> DataFrame:
     return pairs.where("x <> c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b"))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: int = SETS) -> DataFrame:
     """doc_id, text_hash, group_id (its smallest doc_id), first (whether the row's doc_id and text are the group's representative).
 
     Texts are linked if the sets of their word shingles have at least this Jaccard similarity. First candidates agree in
     all but two bits of one of ``sets`` fingerprints over words. Then all that share a shingle of their prefixes, as any
     two of this similarity do, are compared unless links join them already, so no link between groups is missed. Texts
-    of equal words are one node throughout.
+    of equal words are one node throughout. Shingles are known by 64-bit hashes.
     """
     shared = _frequent(docs, size)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _word_udf(sets)("text").alias("w"), _prefix_udf(size, similarity, shared)("text").alias("p"))
-    rows = written(rows.select("doc_id", "text_hash", F.col("w.same").alias("node"), F.col("w.fps").alias("fps"), F.col("p.n").alias("n"), F.col("p.tokens").alias("tokens")), "fingerprints")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("tokens").alias("tokens"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _profile_udf(size, similarity, sets, shared)("text").alias("p"))
+    rows = written(rows.select("doc_id", "text_hash", "p.*"), "profiles")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     nodes = written(nodes, "nodes")
-    token = nodes.select("node", "n", F.explode("tokens").alias("token"))
-    several = token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    members = written(token.join(several, "token", "left_semi").select("token", "node", "n"), "members")
+    members = written(_members(rows), "members")
     each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
     least = written(each.groupBy("s", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
     equal = each.join(least.where("n > 1"), ["s", "fp"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     pairs = written(equal.unionByName(_close(least.select("s", "fp", F.col("least").alias("node")))).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    wanted = nodes.join(ends, "node").select("node", "row.doc_id", "row.text_hash").distinct()
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
-    texts = texts.join(wanted, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))).groupBy("node").agg(F.min("text").alias("text"))
-    sets_ = written(texts.select("node", _shingle_udf(size)("text").alias("h")), "shingles")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets_.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets_.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-    found = _complete(members, written(check(pairs), "links"), check, similarity)
+    check = _Verifier(docs, nodes, size, similarity)
+    found = _complete(members, check(pairs), check, similarity)
     rooted = nodes.join(found, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("row").alias("first"), F.min("row.doc_id").alias("group_id"))
     labels = written(rooted.join(first, "root").select("node", "first", "group_id"), "labels")
@@ -342,7 +413,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: i
     return out.select("doc_id", "text_hash", "group_id", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("first"))
 
 
-def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: int = 8) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: int = SETS) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id; of repeated rows one."""
     d, t = fresh(docs, "_d"), fresh(docs, "_t")
     first = near_copies(docs, size, similarity, sets).where("first").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()

@@ -181,3 +181,21 @@ def test_hadamard_rotation_keeps_lengths():
 def test_answers():
     assert decontam.answer_of("What is it? The first of five words.").strip() == "The first of five words."
     assert "Why" in decontam.answer_of("Why? So.") and decontam.answer_of("") == ""
+
+
+def test_bitmaps_never_rule_out_what_is_near():
+    r = random.Random(12)
+    for trial in range(300):
+        n = r.choice([1, 2, 5, 40, 300, 2000])
+        base = [f"w{r.randrange(10 * n)}" for _ in range(n)]
+        other = [w for w in base if r.random() > 0.05] + [f"x{k}" for k in range(int(n * r.random() * 0.3))]
+        p = simhash.profiles(pa.array([" ".join(base), " ".join(other)]), 5, 0.8, 2, np.zeros(0, np.uint64), np.zeros(0, np.int64)).to_pylist()
+        sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in (base, other)]
+        assert [x["n"] for x in p] == [len(s) for s in sets]
+        differ = len(sets[0] ^ sets[1])
+        assert simhash.least_difference(p[0]["bits"], p[1]["bits"]) <= differ
+        both, either = len(sets[0] & sets[1]), len(sets[0] | sets[1])
+        if either and both >= 0.8 * either:
+            assert simhash.may_be_near(p[0]["bits"], p[1]["bits"], p[0]["n"], p[1]["n"], 0.8)
+            assert {*p[0]["rare"]} & {*p[1]["rare"]}
+    assert not simhash.may_be_near(*[x["bits"] for x in simhash.profiles(pa.array([" ".join(f"a{k}" for k in range(200)), " ".join(f"b{k}" for k in range(200))]), 5, 0.8, 2, np.zeros(0, np.uint64), np.zeros(0, np.int64)).to_pylist()], 196, 196, 0.8)
