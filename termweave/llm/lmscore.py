@@ -1,17 +1,18 @@
 """Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
 
-The model is a bigram one over lower-cased words with a mark at the end of each text. Bigrams that occur at least
-``LEAST`` times are held in a Bloom filter under the keys (bigram, 1) .. (bigram, level), level growing with the
-logarithm of the count; probing level after level until a miss gives the quantised count. The mass of each history, and
-the share of it that its rarer followers and unseen words get (Witten and Bell's number of types, and all bigrams below
-``LEAST``), are held in a second filter in the same way. So
-    p(w | h) = c(hw) / (c(h) + types(h))  where the filter knows hw, else  rest(h) * p1(w),
-with p1 the add-one unigram probability, which is exact: the ``HOT`` most frequent words are broadcast, the others are
-joined by a shuffle of each document's distinct rare words.
-
-The filter grows with the corpus. It is cut into segments by key; a pass broadcasts segments of at most ``PASS_BYTES``
-together and scores the bigrams that belong to them, and there are as many passes as that takes, so what is broadcast
-at once stays bounded. A filter's only error is to take an unseen key for a seen one, at a rate of about 0.1 %.
+The model is a bigram one over lower-cased words with a mark at the end of each text. Every bigram of the training texts
+is held in a Bloom filter under the keys (bigram, 1) .. (bigram, level), level growing with the logarithm of the count;
+probing level after level until a miss gives the count, rounded down to its level. With c the counts, T(h) the number of
+different words after h by Heaps' law, c(h) ** beta, and p1 the add-one unigram probability,
+    p(w | h) = c(hw) / (c(h) + T(h))  where the filter knows hw, else  T(h) / (c(h) + T(h)) * p1(w);
+after a history that wasn't learned it is p1(w). These add up to at most 1 for each h. beta is fitted so that the T(h)
+add up to the number of different bigrams. Counts of words are exact: the ``HOT`` most frequent words are broadcast, the
+others are joined by a shuffle of each document's distinct rare words.
+
+The filter grows with the corpus. It is cut into segments by key, as many as the number of tokens asks for; a pass
+broadcasts segments of at most ``PASS_BYTES`` together and scores the bigrams that belong to them, and there are as many
+passes over the documents as that takes, so what is broadcast or gathered at once stays bounded. A filter's only error
+is to take an unseen key for a seen one, at a rate of about 0.3 %. Bigrams are known by 64-bit hashes.
 
 Defined cases: a null text counts as the empty one, which is its end mark alone. Documents with null doc_id are training
 documents. If nothing is to be learned all counts are zero. Repeated rows count as often as they stand and are all
@@ -24,32 +25,36 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.wordspans import chunks, mix, words
-from termweave.session import written
+from termweave.llm.wordspans import Lookup, chunks, mix, words
+from termweave.session import remove, written
 
 HOT = 1 << 16
-LEAST = 2
-BASE = 2.0
-BITS, PROBES = 24, 6
+BASE = 1.5
+BITS, PROBES = 16, 5
 #: Tokens that a task sums before it passes them on; a matter of memory, not of results.
 AT_ONCE = 2_000_000
-PASS_BYTES = 192 << 20
+#: Training tokens for each segment, which bounds its size and what is gathered to build it.
+SEGMENT_TOKENS = 1_500_000
+PASS_BYTES = 128 << 20
 START, END = np.uint64(0x51), np.uint64(0xE1)
-_A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Steps of the logarithm in which a history's remaining share is stored.
-REST_STEP = 0.25
+_B, _C = np.uint64(0xA24BAED4963EE407), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Exponents among which beta is sought.
+BETAS = [k / 40 for k in range(41)]
 
 
 # -- the filter -------------------------------------------------------------------------------------------------------
-def levels(value: np.ndarray, least: float, base: float) -> np.ndarray:
-    """1 for least, one more for each further factor of base."""
-    return 1 + np.floor(np.log(np.maximum(value, least) / least) / np.log(base) + 1e-9).astype(np.int64)
+def levels(count: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, one more for each further factor of BASE."""
+    return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
+
+
+def least(level: np.ndarray) -> np.ndarray:
+    """The smallest whole count of the level."""
+    return np.ceil(BASE ** (np.maximum(level, 1) - 1.0) - 1e-6)
 
 
 def _probe(key: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,13 +67,13 @@ def _probe(key: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.nda
     return a, bits
 
 
-def build(key: np.ndarray, level: np.ndarray) -> bytes:
-    """The words of a segment that holds each key at its level."""
+def build(key: np.ndarray, level: np.ndarray, bits: int = BITS) -> bytes:
+    """The words of a segment that holds each key at its level; bits: of the filter for each key and level."""
     many = np.repeat(key, level)
     each = np.arange(len(many)) - np.repeat(np.cumsum(level) - level, level) + 1
-    out = np.zeros(max(1, -(-len(many) * BITS // 64)), np.uint64)
-    a, bits = _probe(many, each)
-    np.bitwise_or.at(out, (a % np.uint64(len(out))).astype(np.int64), bits)
+    out = np.zeros(max(1, -(-len(many) * bits // 64)), np.uint64)
+    a, ones = _probe(many, each)
+    np.bitwise_or.at(out, (a % np.uint64(len(out))).astype(np.int64), ones)
     return out.tobytes()
 
 
@@ -82,12 +87,14 @@ class Filter:
 
     @classmethod
     def of(cls, segments: dict[int, bytes], count: int) -> Filter:
-        size = np.array([len(segments.get(k, b"")) // 8 for k in range(count)], np.uint64)
-        return cls(np.frombuffer(b"".join(segments.get(k, b"") for k in range(count)), np.uint64), np.cumsum(size) - size, size)
+        size = np.zeros(count, np.uint64)
+        size[list(segments)] = [len(b) // 8 for b in segments.values()]
+        return cls(np.frombuffer(b"".join(segments[k] for k in sorted(segments)), np.uint64), np.cumsum(size) - size, size)
 
-    def level(self, key: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    def level(self, key: np.ndarray) -> np.ndarray:
         """The level of each key, 0 for a key that isn't held, by probing level after level."""
         out = np.zeros(len(key), np.int64)
+        segment = segment_of(key, len(self.size))
         live = np.flatnonzero(self.size[segment] > 0)
         key, first, size = key[live], self.first[segment[live]], self.size[segment[live]]
         level = 1
@@ -100,21 +107,11 @@ class Filter:
         return out
 
 
-def _segment(h: np.ndarray, w: np.ndarray, hot: np.ndarray, count: int) -> np.ndarray:
-    """A bigram's segment: its history's, but a hot history's bigrams are dealt to all."""
-    where = np.where(_among(h, hot) >= 0, mix(h + w * _A), h)
-    return (where % np.uint64(count)).astype(np.int64)
-
-
-def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """The place of each x in the sorted array, -1 if it isn't there."""
-    if not len(sorted_):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return np.where(sorted_[at] == x, at, -1)
+def segment_of(key: np.ndarray, count: int) -> np.ndarray:
+    return (key % np.uint64(count)).astype(np.int64)
 
 
-def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+def bigram(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * _B + w)
 
 
@@ -139,235 +136,211 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield lo, hi, *tokens(texts.slice(lo, hi - lo))
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the sum of n of each, and the place of its first."""
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and the sum of n of each."""
     if not len(key):
-        return key, n, np.zeros(0, np.int64)
+        return key, n
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return key[starts], np.add.reduceat(n, starts), order[starts]
+    return key[starts], np.add.reduceat(n, starts)
 
 
 # -- counts -----------------------------------------------------------------------------------------------------------
-def unigrams(train: DataFrame) -> DataFrame:
-    """h (word hash), c (count): exact, of all tokens with their end marks."""
+def _summing(train: DataFrame, kind: str, keys, send) -> DataFrame:
+    """Keys of each text's tokens and the tokens before, summed within a task over AT_ONCE tokens and sent on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for batch in batches:
-            for _, _, h, _, _ in _parts(batch.column("text")):
-                found.append(_summed(h, np.ones(len(h), np.int64))[:2])
-                size += len(h)
-            if size >= AT_ONCE:
-                yield total(found)
-                found, size = [], 0
+            for _, _, w, h, _ in _parts(batch.column("text")):
+                found.append(np.unique(keys(h, w), return_counts=True))
+                size += len(w)
+                if size >= AT_ONCE:
+                    yield send(*_summed(*(np.concatenate(x) for x in zip(*found))))
+                    found, size = [], 0
         if found:
-            yield total(found)
+            yield send(*_summed(*(np.concatenate(x) for x in zip(*found))))
 
-    def total(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, n, _ = _summed(*(np.concatenate(x) for x in zip(*found)))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "c"])
+    return train.select("text").mapInArrow(run, kind)
 
-    return train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def unigrams(train: DataFrame) -> DataFrame:
+    """h (word hash), c (count): exact, of all tokens with their end marks."""
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.int64(x.nbytes).tobytes() + x.tobytes() for x in arrays))
+    def send(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "c"])
 
+    return _summing(train, "h long, c long", lambda h, w: w, send).groupBy("h").agg(F.sum("c").alias("c"))
 
-def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
-    for kind in kinds:
-        n = int(np.frombuffer(data, np.int64, 1, at)[0])
-        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at + 8))
-        at += 8 + n
-    return out
 
+def segments(train: DataFrame, count: int, bits: int = BITS) -> DataFrame:
+    """segment, filter (its words), n (its different bigrams)."""
 
-def bigram_blobs(train: DataFrame, hot, count: int) -> DataFrame:
-    """segment, blob: the bigrams of each batch summed, by segment, as histories, numbers of followers, followers and counts."""
+    def send(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        at = segment_of(key, count)
+        order = np.argsort(at, kind="stable")
+        key, n, at = key[order], n[order].astype(np.uint32), at[order]
+        some = np.unique(at)
+        lo, hi = np.searchsorted(at, some), np.searchsorted(at, some, "right")
+        cut = [[x[a:b].tobytes() for a, b in zip(lo, hi)] for x in (key, n)]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cut)], names=["segment", "keys", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = hot.value
-        found, size = [], 0
-        for batch in batches:
-            for _, _, h, before, _ in _parts(batch.column("text")):
-                _, n, at = _summed(_key(before, h), np.ones(len(h), np.int64))
-                found.append((before[at], h[at], n))
-                size += len(h)
-                if size >= AT_ONCE:
-                    yield blobs(found, frequent)
-                    found, size = [], 0
-        if found:
-            yield blobs(found, frequent)
-
-    def blobs(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], frequent: np.ndarray) -> pa.RecordBatch:
-        h, w, n = (np.concatenate(x) for x in zip(*found))
-        _, n, at = _summed(_key(h, w), n)
-        h, w = h[at], w[at]
-        segment = _segment(h, w, frequent, count)
-        order = np.lexsort((h, segment))
-        h, w, n, segment = h[order], w[order], n[order], segment[order]
-        bounds = np.searchsorted(segment, np.arange(count + 1))
-        out = []
-        for lo, hi in zip(bounds, bounds[1:]):
-            if hi > lo:
-                starts = np.flatnonzero(np.concatenate(([True], h[lo + 1 : hi] != h[lo : hi - 1])))
-                some = h[lo:hi][starts]
-                at = _among(some, frequent)
-                # a hot history is written as its place in the hot list
-                out.append((int(segment[lo]), _pack(at[at >= 0].astype(np.uint16), some[at < 0], at >= 0, np.diff(np.append(starts, hi - lo)).astype(np.uint32), w[lo:hi].astype(np.uint32), n[lo:hi].astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["segment", "blob"])
-
-    return train.select("text").mapInArrow(run, "segment int, blob binary")
-
-
-def segments(blobs: DataFrame, hot, least: int) -> DataFrame:
-    """segment, bits, and of the histories with bigrams of at least ``least``: h, total (count and types), known (count of those bigrams), as arrays."""
-
-    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        frequent, parts = hot.value, []
-        for blob in table["blob"]:
-            at, rare, is_hot, followers, w, n = _unpack(blob, np.uint16, np.uint64, np.bool_, np.uint32, np.uint32, np.uint32)
-            h = np.zeros(len(is_hot), np.uint64)
-            h[is_hot], h[~is_hot] = frequent[at], rare
-            parts.append((np.repeat(h, followers), w.astype(np.uint64), n.astype(np.int64)))
-        h, w, n = (np.concatenate(x) for x in zip(*parts))
-        k, n, at = _summed(_key(h, w), n)
-        h = h[at]
-        some = n >= least
-        bits = build(k[some], levels(n[some], least, BASE))
-        ones = np.ones(len(n), np.int64)
-        each, total, _ = _summed(h, n + ones)
-        _, known, _ = _summed(h, np.where(some, n, 0))
-        return pd.DataFrame({"segment": [key[0]], "bits": [bits], "h": [each.view(np.int64).tolist()], "total": [total.tolist()], "known": [known.tolist()]})
-
-    def kept(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        out = run(key, table)
-        # of histories that aren't hot all bigrams are here: those without a known one need no entry
-        h, known = np.array(out["h"][0], np.int64).view(np.uint64), np.array(out["known"][0])
-        keep = (known > 0) | (_among(h, hot.value) >= 0)
-        for c in ("h", "total", "known"):
-            out.at[0, c] = np.array(out[c][0])[keep].tolist()
-        return out
+    def filled(table: pa.Table) -> pa.Table:
+        key, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.uint32)))
+        key, n = _summed(key, n.astype(np.int64))
+        return pa.table({"segment": table.column("segment")[:1], "filter": pa.array([build(key, levels(n), bits)], pa.binary()), "n": pa.array([len(key)], pa.int64())})
 
-    return blobs.groupBy("segment").applyInPandas(kept, "segment int, bits binary, h array<long>, total array<long>, known array<long>")
+    blobs = _summing(train, "segment int, keys binary, counts binary", bigram, send)
+    return blobs.groupBy("segment").applyInArrow(filled, "segment int, filter binary, n long")
 
 
-def histories(found: DataFrame, count: int) -> DataFrame:
-    """segment, bits: each history's total and remaining share, quantised."""
+def heaps(ones: DataFrame, different: int) -> float:
+    """The exponent of c at which the sum over all words is the number of different bigrams, between those of BETAS; c of at least 1."""
+    sums = ones.agg(*[F.sum(F.pow("c", F.lit(b))) for b in BETAS]).first()
+    if sums[0] is None or different <= sums[0]:
+        return 0.0
+    return float(np.interp(np.log(different), np.log(np.array(sums, float)), BETAS))
 
-    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        h = table["h"].to_numpy(np.int64).view(np.uint64)
-        total, known = table["total"].to_numpy(), table["known"].to_numpy()
-        rest = levels(1 / np.maximum(1 - known / total, 1e-6), 1.0, np.exp(REST_STEP))
-        return pd.DataFrame({"segment": [key[0]], "bits": [build(np.concatenate([h ^ _A, h ^ _B]), np.concatenate([levels(total, LEAST, BASE), rest]))]})
 
-    each = found.select(F.explode(F.arrays_zip("h", "total", "known")).alias("x")).select("x.h", "x.total", "x.known")
-    each = each.groupBy("h").agg(F.sum("total").alias("total"), F.sum("known").alias("known")).where("known > 0")
-    return each.groupBy(F.pmod("h", F.lit(count)).cast("int").alias("segment")).applyInPandas(run, "segment int, bits binary")
+# -- scoring ----------------------------------------------------------------------------------------------------------
+@dataclass
+class Known:
+    """Frequent words: lookup of their place; whether each was learned, and log10 of its p1, of T and of c + T."""
 
+    lookup: Lookup
+    seen: np.ndarray
+    one: np.ndarray
+    types: np.ndarray
+    total: np.ndarray
 
-def _history_segment(h: np.ndarray, count: int) -> np.ndarray:
-    return np.mod(h.view(np.int64), count)
+    @classmethod
+    def of(cls, h: np.ndarray, c: np.ndarray, spread: float, beta: float) -> Known:
+        some = np.maximum(c, 1).astype(float)
+        return cls(Lookup(h, np.arange(len(h), dtype=np.int32)), c > 0, np.log10((c + 1) / spread), beta * np.log10(some), np.log10(np.where(c > 0, some + some**beta, 1.0)))
 
 
-# -- scoring ----------------------------------------------------------------------------------------------------------
-def _middle(level: np.ndarray, least: float, base: float) -> np.ndarray:
-    """A value amid those of the level."""
-    return least * base ** (level - 0.5)
+#: Of a pass: what the words and bigrams known to it give; and the document's other words w: how often each stands (first pass only), and how often after, or as, the history of a bigram unknown to it.
+PASS = "text_hash long, held_out boolean, n_tokens long, known long, base double, score double, w array<long>, times array<int>, open array<int>, opens array<int>"
 
 
-def _score(texts: DataFrame, shared, count: int, here: frozenset[int]) -> DataFrame:
-    """For each row what the hot words and the segments here give, and its other words with their numbers."""
+def _score(texts: DataFrame, shared, here: list[int], first: bool) -> DataFrame:
+    """One pass over doc_id, text_hash, held_out, text: PASS for each row, by the filter's segments here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_count, big, context, spread = shared.value
-        mine = np.isin(np.arange(count), list(here))
+        hot, big = shared.value
+        mine = np.zeros(len(big.size), bool)
+        mine[here] = True
         for batch in batches:
             for lo, hi, w, h, row in _parts(batch.column("text")):
-                # distinct tokens, and distinct pairs of them, are looked up once
-                each, number = np.unique(np.append(w, START), return_inverse=True)
-                before = np.where(h == START, number[-1], np.append(number[-1], number[:-2]))
-                number = number[:-1]
-                pairs, pair = np.unique(before * len(each) + number, return_inverse=True)
-                ph, pw = each[pairs // len(each)], each[pairs % len(each)]
-                segment = _segment(ph, pw, hot, count)
-                level = big.level(_key(ph, pw.astype(np.uint32).astype(np.uint64)), segment)
-                at = _history_segment(each, count)
-                total, rest = (context.level(each ^ x, at)[pairs // len(each)] for x in (_A, _B))
-                known = (level > 0) & (total > 0)
-                p = np.where(known, np.log10(np.minimum(1.0, _middle(level, LEAST, BASE) / _middle(np.maximum(total, 1), LEAST, BASE))), np.where(rest > 0, -REST_STEP * (rest - 0.5) / np.log(10), 0.0))
-                p = np.where(mine[segment], p, 0.0)[pair]
-                unknown = (~known & mine[segment])[pair]
-                place = _among(each, hot)[number]
-                is_hot = place >= 0
-                c = np.where(is_hot, hot_count[place], 0) if len(hot) else np.zeros(len(w))
-                one = np.where(is_hot, np.log10((c + 1) / spread), 0.0)
                 n = hi - lo
+                key = bigram(h, w)
+                # of each document's bigrams of these segments, which the filter doesn't know
+                some = np.flatnonzero(mine[segment_of(key, len(mine))])
+                pairs, pair = np.unique(key[some], return_inverse=True)
+                level = big.level(pairs)
+                unknown = np.zeros(len(w), bool)
+                unknown[some] = (level == 0)[pair]
+                place = hot.lookup(w)
+                before = np.concatenate(([0], place[:-1]))
+                start = h == START
+                before[start] = hot.lookup(np.array([START]))[0]
+                frequent = place >= 0
+                at = np.maximum(place, 0)
+                score = np.bincount(row[some], np.log10(least(level))[pair] * (level > 0)[pair], n)
+                score += np.bincount(row, np.where(unknown & frequent, hot.one[at], 0.0), n)
+                score += np.bincount(row, np.where(unknown & (before >= 0), hot.types[np.maximum(before, 0)], 0.0), n)
                 size = np.bincount(row, minlength=n)
-                hot_known, hot_base = np.bincount(row, is_hot, n), np.bincount(row, one, n)
-                score = np.bincount(row, p + np.where(unknown, one, 0.0), n)
-                other = np.flatnonzero(~is_hot)
-                order = other[np.lexsort((w[other], row[other]))]
-                starts = np.flatnonzero(np.concatenate(([True], (w[order][1:] != w[order][:-1]) | (row[order][1:] != row[order][:-1])))) if len(order) else order
-                times = np.diff(np.append(starts, len(order)))
-                open_ = np.add.reduceat(unknown[order].astype(np.int64), starts) if len(starts) else times
-                bounds = pa.array(np.searchsorted(row[order][starts], np.arange(n + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, t)) for x, t in ((w[order][starts].view(np.int64), pa.int64()), (times, pa.int32()), (open_, pa.int32()))]
+                base, known = np.zeros(n), np.zeros(n)
+                if first:
+                    base = np.bincount(row, np.where(frequent, hot.one[at], 0.0), n)
+                    known = np.bincount(row, frequent & hot.seen[at], n)
+                    score -= np.bincount(row, np.where(before >= 0, hot.total[np.maximum(before, 0)], 0.0), n)
+                # a rare word is the history of the token after it, which stands in the same text as it is no end mark
+                other = np.flatnonzero(~frequent)
+                after = unknown[np.minimum(other + 1, len(w) - 1)]
+                if not first:
+                    keep = unknown[other] | after
+                    other, after = other[keep], after[keep]
+                order = np.lexsort((w[other], row[other]))
+                other, after = other[order], after[order]
+                starts = np.flatnonzero(np.concatenate(([True], (w[other][1:] != w[other][:-1]) | (row[other][1:] != row[other][:-1])))) if len(other) else other
+                times = np.diff(np.append(starts, len(other))) * first
+                open_, opens = (np.add.reduceat(x.astype(np.int64), starts) if len(starts) else times for x in (unknown[other], after))
+                bounds = pa.array(np.searchsorted(row[other][starts], np.arange(n + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, t)) for x, t in ((w[other][starts].view(np.int64), pa.int64()), (times, pa.int32()), (open_, pa.int32()), (opens, pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(lo, n) for k in range(3)), pa.array(size), pa.array(hot_known.astype(np.int64)), pa.array(hot_base), pa.array(score), *lists],
-                    names=["doc_id", "text_hash", "held_out", "n_tokens", "hot_known", "hot_base", "hot_score", "w", "times", "open"],
+                    [*(batch.column(k).slice(lo, n) for k in range(3)), pa.array(size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), *lists],
+                    names=["doc_id", *(c.split()[0] for c in PASS.split(", "))],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, held_out boolean, n_tokens long, hot_known long, hot_base double, hot_score double, w array<long>, times array<int>, open array<int>")
+    return texts.mapInArrow(run, f"doc_id {kind}, {PASS}")
+
+
+def _passes(found: DataFrame, room: int) -> list[list[int]]:
+    """Segments, as many at once as there is room for; one pass at least."""
+    out, left = [[]], room
+    for r in found.select("segment", F.length("filter").alias("n")).orderBy("segment").collect():
+        if r["n"] > left and out[-1]:
+            out.append([])
+            left = room
+        out[-1].append(r["segment"])
+        left -= r["n"]
+    return out
 
 
-def score(docs: DataFrame, held_out: Column, hot: int = HOT, least: int = LEAST, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, hot: int = HOT, pass_bytes: int = PASS_BYTES, bits: int = BITS, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text; learns from those that aren't held out."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    count = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sc = docs.sparkSession.sparkContext
     train = docs.where(~held_out)
     ones = written(unigrams(train), "unigrams")
     n, v = ones.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = ones.orderBy(F.desc("c"), "h").limit(min(hot, 1 << 16)).toPandas()
-    words_ = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words_)
-    frequent, frequent_count = words_[order], top["c"].to_numpy(np.int64)[order]
+    count = max(8, -(-n // segment_tokens))
+    found = written(segments(train, count, bits), "segments")
+    beta = heaps(ones, found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     spread = float(n + v + 1)
-    shared_hot = sc.broadcast(frequent)
-    found = written(segments(bigram_blobs(train, shared_hot, count), shared_hot, least), "segments")
-    context = Filter.of({r["segment"]: bytes(r["bits"]) for r in histories(found, count).collect()}, count)
+    end = END.view(np.int64).item()
+    ends = ones.where(F.col("h") == end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    top = ones.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(hot).toPandas()
+    # the marks count as frequent words; there are as many starts as ends
+    h = np.concatenate([top["h"].to_numpy(np.int64).view(np.uint64), [START, END]])
+    known = Known.of(h, np.concatenate([top["c"].to_numpy(np.int64), [ends, ends]]), spread, beta)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), held_out.alias("held_out"), "text")
-    passes: list[list[int]] = [[]]
-    room = pass_bytes
-    for r in found.select("segment", F.length("bits").alias("n")).orderBy("segment").collect():
-        if r["n"] > room and passes[-1]:
-            passes.append([])
-            room = pass_bytes
-        passes[-1].append(r["segment"])
-        room -= r["n"]
-    rows = None
-    for k, some in enumerate(passes):
-        bits = {r["segment"]: bytes(r["bits"]) for r in found.where(F.col("segment").isin(some)).select("segment", "bits").collect()} if some else {}
-        here = frozenset(some) | (frozenset(range(count)) - frozenset(x for p in passes for x in p) if k == 0 else frozenset())
-        shared = sc.broadcast((frequent, frequent_count, Filter.of(bits, count), context, spread))
-        one = _score(texts, shared, count, here)
-        if rows is None:
-            rows = written(one.withColumn("row", F.monotonically_increasing_id()), "scores")
-        else:  # the same rows again with other segments: what they add
-            more = one.groupBy("doc_id", "text_hash").agg(F.first("hot_score").alias("more"), F.first("open").alias("also"))
-            both = rows.join(more.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("t")), "left")
-            rows = written(both.withColumns({"hot_score": F.expr("hot_score + more"), "open": F.expr("zip_with(open, also, (a, b) -> a + b)")}).drop("d", "t", "more", "also"), "scores")
-    rare = rows.select("row", F.explode(F.arrays_zip("w", "times", "open")).alias("x")).select("row", "x.w", "x.times", "x.open")
-    p = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(spread))
-    seen = rare.join(ones.withColumnRenamed("h", "w"), "w", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * p).alias("base"), F.sum(F.col("open") * p).alias("more")
-    )
-    return rows.drop("w", "times", "open").join(seen, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("hot_score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    passes = []
+    for here in _passes(found, pass_bytes):
+        filters = {r["segment"]: bytes(r["filter"]) for r in found.where(F.col("segment").isin(here)).select("segment", "filter").collect()} if here else {}
+        shared = sc.broadcast((known, Filter.of(filters, count)))
+        del filters
+        # bigrams of segments that nothing fell into are unknown to the first pass
+        empty = [] if passes else sorted({*range(count)} - {r["segment"] for r in found.select("segment").collect()})
+        passes.append(written(_score(texts, shared, here + empty, not passes), "scores"))
+        shared.destroy()
+    remove(found)
+    return _total(passes, ones, n, spread, beta)
+
+
+def _total(passes: list[DataFrame], ones: DataFrame, n: int, spread: float, beta: float) -> DataFrame:
+    """The passes' sums and what the rare words add, for each row of the first pass."""
+    key = ["doc_id", "text_hash"]
+    c = F.coalesce("c", F.lit(0)).cast("double")
+    one, types = F.log10((c + 1) / F.lit(spread)), F.lit(beta) * F.log10(F.greatest(c, F.lit(1.0)))
+    total = F.when(c > 0, F.log10(c + F.pow(c, F.lit(beta)))).otherwise(0.0)
+    rare, parts = None, None
+    for k, rows in enumerate(passes):
+        some = rows.select(*key, F.explode(F.arrays_zip("w", "times", "open", "opens")).alias("x")).select(*key, "x.*")
+        part = rows.select(*key, F.lit(int(k == 0)).alias("rows"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
+        rare, parts = (some, part) if rare is None else (rare.unionByName(some), parts.unionByName(part))
+    rare = rare.join(ones.withColumnRenamed("h", "w"), "w", "left")
+    more = rare.groupBy(*key).agg(
+        F.lit(0).alias("rows"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * one).alias("base"),
+        F.sum(F.col("open") * one + F.col("opens") * types - F.col("times") * total).alias("score"),
+    )
+    # rows that repeat give their sums as often as they stand
+    sums = parts.unionByName(more).groupBy(*key).agg(*[F.sum(x).alias(x) for x in ("rows", "known", "base", "score")])
+    sums = sums.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "rows", F.col("known").alias("more_known"), F.col("base").alias("more_base"), F.col("score").alias("all"))
+    out = passes[0].join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.expr("more_known div rows")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("more_base") / F.col("rows")).alias("base_score"), (F.col("all") / F.col("rows")).alias("score"),
+    )

@@ -149,12 +149,20 @@ def test_language_edge_cases():
 
 def test_bloom_levels():
     r = np.random.default_rng(1)
-    key, level = r.integers(0, 2**63, 3000, dtype=np.uint64), r.integers(1, 9, 3000)
+    key, level = r.integers(0, 2**63, 3000, dtype=np.uint64) | np.uint64(1), r.integers(1, 9, 3000)
     f = lmscore.Filter.of({1: lmscore.build(key, level)}, 2)
-    got = f.level(key, np.ones(3000, np.int64))
+    got = f.level(key)
     assert (got >= level).all() and (got > level).mean() < 0.02
-    other = f.level(r.integers(0, 2**63, 20000, dtype=np.uint64), np.ones(20000, np.int64))
-    assert (other > 0).mean() < 0.01 and (f.level(key, np.zeros(3000, np.int64)) == 0).all()
+    other = r.integers(0, 2**63, 20000, dtype=np.uint64)
+    assert (f.level(other | np.uint64(1)) > 0).mean() < 0.01 and (f.level(other & ~np.uint64(1)) == 0).all()
+
+
+def test_levels_hold_what_they_say():
+    c = np.arange(1, 5000)
+    level = lmscore.levels(c)
+    least = lmscore.least(level)
+    assert (least <= c).all() and (c < 1.5 * least + 1).all() and (np.diff(level) >= 0).all()
+    assert lmscore.least(lmscore.levels(np.array([1, 2, 3]))).tolist() == [1, 2, 3]
 
 
 def test_tokens_end_each_text():

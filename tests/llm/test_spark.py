@@ -341,15 +341,51 @@ def test_lm_score(spark, real, odd, none):
     assert {r.train_tokens for r in lmscore.score(odd, F.lit(True)).collect()} == {0}
 
 
-def test_lm_passes_and_few_hot_words_change_nothing(spark, real):
-    docs = spark.createDataFrame([(i, t) for i, t, _ in real][:80], "doc_id long, text string")
-    out = langid.held_out(F.col("doc_id"), 7, 2)
-    one = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lmscore.score(docs, out).collect()}
-    for kw in ({"hot": 20}, {"pass_bytes": 2000}):
-        many = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lmscore.score(docs, out, **kw).collect()}
-        assert many.keys() == one.keys()
-        for d in one:
-            assert many[d][0] == one[d][0] and many[d][1] == pytest.approx(one[d][1]) and many[d][2] == pytest.approx(one[d][2], rel=0.02)
+def plain_lm(rows):
+    """doc_id: log10 probability, by plain counting: the model as its docstring has it."""
+    texts = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = collections.Counter(w for t in train for w in t), collections.Counter((h, w) for t in train for h, w in zip([0, *t], t))
+    follows = c | collections.Counter({0: len(train)})
+    n, v = sum(c.values()), len(c)
+    sums = [sum(x**b for x in c.values()) for b in lmscore.BETAS]
+    beta = float(np.interp(math.log(len(pairs)), np.log(sums), lmscore.BETAS))
+    out = {}
+    for i, t in texts:
+        out[i] = 0.0
+        for h, w in zip([0, *t], t):
+            k, f = pairs[h, w], follows[h]
+            if k:
+                p = max(m for m in (math.ceil(1.5**x - 1e-6) for x in range(40)) if m <= k) / (f + f**beta)
+            else:
+                p = (c[w] + 1) / (n + v + 1) * (f**beta / (f + f**beta) if f else 1)
+            assert 0 < p <= 1
+            out[i] += math.log10(p)
+    return out
+
+
+@pytest.mark.parametrize("kw", [{}, {"hot": 20}, {"pass_bytes": 2_000_000}, {"hot": 5, "pass_bytes": 600_000, "segment_tokens": 900}])
+def test_lm_score_is_that_of_plain_counts(spark, real, kw):
+    rows = [(i, t) for i, t, _ in real][:90] + [(1, "b a"), (1, "b a"), (2000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lmscore.score(docs, langid.held_out(F.col("doc_id"), 7, 2), bits=4096, **kw).collect()
+    want = collections.defaultdict(list)
+    for (i, _), x in zip(rows, [plain_lm(rows)] * len(rows)):
+        want[i].append(x[i])
+    ids = collections.Counter(i for i, _ in rows)
+    assert collections.Counter(r.doc_id for r in got) == ids
+    for r in got:
+        if ids[r.doc_id] == 1:
+            assert r.score == pytest.approx(want[r.doc_id][0], rel=1e-9)
+    repeated = [r.score for r in got if r.doc_id == 1]
+    assert len({round(x, 9) for x in repeated}) == 2
+
+
+def test_lm_filter_hardly_errs(spark, real):
+    rows = [(i, t) for i, t, _ in real]
+    got = {r.doc_id: r.score for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), langid.held_out(F.col("doc_id"), 7, 2)).collect()}
+    want = plain_lm(rows)
+    assert np.median([abs(got[i] / want[i] - 1) for i in want]) < 0.005 and np.corrcoef([got[i] for i in want], [want[i] for i in want])[0, 1] > 0.999
 
 
 @pytest.mark.parametrize("stage", range(5))
