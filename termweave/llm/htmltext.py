@@ -1,168 +1,234 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. Elements that hold no article text by their kind, and lines
-outside the article where the page marks one, count as empty lines. Over the lines' lengths slide windows of ``WINDOW``
-lines; where a window's sum leaves zero the text surges, where it falls back to zero it dives, and the text between
-surge and dive is kept. Where no article is marked, only stretches of at least ``SHARE`` of the largest are kept.
-
-Defined cases: null and empty html give an empty text; unclosed elements end where their parent or the page ends;
-repeated rows give the same text. Other columns of the input stay out of the result.
+Markup is stripped into lines, one for each block element, and over the lines' text lengths slide windows of ``WINDOW``
+lines. Where a window's sum leaves zero the text surges, where it falls back to zero it dives; the lines between are a
+stretch. Text of elements that hold no article text by their kind, by their role, or by an exact class or id, has length
+zero and is never kept; text of links has length zero unless an article is marked around it, so menus make no surge.
+Where the page marks articles, ``WINDOW`` empty lines stand at the borders of each, and the article whose stretches have
+the most text is kept with what else its main element holds, of further articles there those with ``SHARE`` of its
+text. Where it marks none, stretches in which some window reaches ``SURGE`` characters are kept, or the largest if none.
+
+Defined cases: null and empty html give an empty text; unclosed elements end where their parent or the page ends; of
+equal articles the first counts; repeated rows give the same text; time is linear in a page's length, however its
+elements are nested. Other columns of the input stay out of the result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
 SHARE = 0.25
+SURGE = 40
 
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template iframe textarea title xmp noembed noframes".split()
 NO_TEXT = frozenset("head nav footer aside form menu select button svg canvas object audio video dialog header".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rb rt rp".split())
-#: Words in class, id or role that mark what isn't the article.
-NO_TEXT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar sidebars side nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "footer masthead topbar header cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay comment comments commentlist reply replies respond disqus discussion "
-    "share sharing social related recommended recommendations newsletter subscribe subscription signup login form search widget widgets pagination pager toolbar contentinfo complementary".split()
+#: Elements that an open one of the same kind ends at, and those that no class or id rules out in an article.
+SELF_ENDING = frozenset("p li dd dt tr td th option".split())
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre table figcaption".split())
+#: Roles, and names in class or id, of what isn't the article; a name may stand between a place and parts.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+PLACES = "site page main top bottom left right global primary secondary user reader post blog web mobile"
+PARTS = "box container wrapper wrap area block section list item bar banner slot unit top bottom left right inner outer content notice consent popup panel message form links menu thread posts articles stories buttons widget"
+NAMES = (
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "footer masthead topbar header cookie cookies gdpr notice notices disclaimer popup modal overlay comment comments commentlist reply replies respond disqus "
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget widgets pagination pager toolbar banner"
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
-MARK = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAME = re.compile(f"(?:(?:{PLACES.replace(' ', '|')})-)?(?:{NAMES.replace(' ', '|')})(?:-(?:{PARTS.replace(' ', '|')}|[0-9]+))*")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marks(attributes: str) -> set[str]:
-    found = set()
+def _marks(attributes: str) -> tuple[set[str], bool]:
+    """Words of role and itemprop, and whether a class or id names what isn't the article."""
+    words, named = set(), False
+    if "=" not in attributes:
+        return words, named
     for m in MARK.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        found.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return found
-
-
-def _is_article(tag: str, marks: set[str]) -> bool:
-    return tag in ("article", "main") or "articlebody" in marks or {"article", "body"} <= marks
+        value = m[2] or m[3] or m[4] or ""
+        if m[1].lower() in ("role", "itemprop"):
+            words.update(value.lower().split())
+        else:
+            each = [CAMEL.sub("-", x).lower().replace("_", "-") for x in value.split()]
+            words.update({"articlebody", "article-body"} & {*each})
+            named = named or any(NAME.fullmatch(x) for x in each)
+    return words, named
+
+
+@dataclass(slots=True)
+class Line:
+    """text: of a block; length: its weight in the distribution; kept: whether no element rules it out; article, main: numbers of the innermost article and of the outermost marked element around it (0: none)."""
+
+    text: str
+    length: int
+    kept: bool
+    article: int
+    main: int
+
+
+def _matches(tokens: list[re.Match[str]]) -> list[int]:
+    """For each token that opens an element the place of the one that closes it, or the number of tokens."""
+    out, open_ = [len(tokens)] * len(tokens), {}
+    for i, m in enumerate(tokens):
+        if m[3] and not m[4].endswith("/"):
+            tag = m[3].lower()
+            if not m[2]:
+                open_.setdefault(tag, []).append(i)
+            elif open_.get(tag):
+                out[open_[tag].pop()] = i
+    return out
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, kept, article): each block's text, whether no element rules it out, and the number of its article (0: none)."""
+def lines_of(page: str) -> list[Line]:
     tokens = [m for m in TOKEN.finditer(page) if m[3] or m[5]]
-    last: dict[str, int] = {}  # where each element is closed for the last time
+    match = _matches(tokens)
     holds: list[int] = []  # tokens that begin an article or a first heading
+    size = [0]  # characters of text before each token
     for i, m in enumerate(tokens):
-        if m[3] and m[2]:
-            last[m[3].lower()] = i
-        elif m[3] and (_is_article(m[3].lower(), _marks(m[4])) or m[3].lower() == "h1"):
-            holds.append(i)
-    out: list[tuple[str, bool, int]] = []
+        size.append(size[-1] + (len(m[5]) if m[5] else 0))
+        if m[3] and not m[2]:
+            tag = m[3].lower()
+            if tag in ("h1", "article", "main") or "=" in m[4] and {"articlebody", "article-body", "main"} & _marks(m[4])[0]:
+                holds.append(i)
+    out: list[Line] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, ruled out, article
+    linked = length = 0
+    in_link = False
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # open elements: tag, ruled out, article, main
+    counts: Counter[str] = Counter()
     number = 0
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-
     def flush() -> None:
+        nonlocal length, linked
         if words:
-            off, article = state()
+            _, off, article, main = stack[-1]
             text = " ".join(html.unescape("".join(words)).split())
             if text:
-                out.append((text, not off, article))
+                # the share of link text is taken before references are decoded; it only has to tell some from none
+                own = len(text) if main else len(text) * (length - linked) // max(1, length)
+                out.append(Line(text, 0 if off else own, not off, article, main))
             words.clear()
+        length = linked = 0
 
+    def excluded(i: int) -> bool:
+        """Whether the element opened here may be ruled out: it is closed, and holds neither the article nor, as a form, most of the page."""
+        end, inner = match[i], bisect_left(holds, i + 1)
+        return end < len(tokens) and not (inner < len(holds) and holds[inner] < end) and not (tokens[i][3].lower() == "form" and 2 * (size[end] - size[i]) > size[-1])
+
+    skip = 0
     for i, m in enumerate(tokens):
+        if i < skip:
+            continue
         if m[5]:
             words.append(m[5])
+            n = len(m[5].strip())
+            length += n
+            linked += n * in_link
             continue
         tag = m[3].lower()
         if tag == "br":
             words.append(" ")
             continue
-        if tag in INLINE and not (_marks(m[4]) & NO_TEXT_WORDS and not m[2]) and not (m[2] and stack and stack[-1][0] == tag and stack[-1][1]):
+        if tag == "a":
+            in_link = not m[2]
+        marks, named = (set(), False) if m[2] else _marks(m[4])
+        if tag in INLINE:
+            if named and excluded(i):
+                skip = match[i]
             continue
         if m[2]:
-            if any(t == tag for t, _, _ in stack):
+            if counts[tag]:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
-            elif tag not in INLINE:
+                while True:
+                    closed = stack.pop()[0]
+                    counts[closed] -= 1
+                    if closed == tag:
+                        break
+            else:
                 flush()
             continue
         flush()
         if tag in VOID or m[4].endswith("/"):
             continue
-        off, article = state()
-        marks = _marks(m[4])
-        if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+        if tag in SELF_ENDING and stack[-1][0] == tag:
             stack.pop()
-            off, article = state()
-        closed = last.get(tag, -1) > i
-        ruled = (tag in NO_TEXT and not (tag == "header" and article)) or bool(marks & NO_TEXT_WORDS) and tag not in ("html", "body")
-        if ruled and not off and closed:
-            end = _end(tokens, i, tag)
-            off = not any(i <= k < end for k in holds) or bool({"comment", "comments", "related", "sidebar"} & marks) and tag == "article"
-        if _is_article(tag, marks) and not off and (not article or tag == "article"):
-            number += 1
-            article = number
-        if closed or tag not in ("p", "li", "dd", "dt"):
-            stack.append((tag, off, article))
-        elif tag in ("p", "li", "dd", "dt"):
-            continue
+            counts[tag] -= 1
+        _, off, article, main = stack[-1]
+        if not off:
+            ruled = tag in NO_TEXT and not (tag == "header" and article) or bool(marks & ROLES) or named and not (main and tag in TEXT)
+            off = ruled and tag not in ("html", "body") and excluded(i)
+            if not off and (tag in ("article", "main") or {"articlebody", "article-body", "main"} & marks):
+                number += 1
+                article, main = number, main or number
+        if match[i] < len(tokens) or tag not in SELF_ENDING:
+            stack.append((tag, off, article, main))
+            counts[tag] += 1
     flush()
     return out
 
 
-def _end(tokens: list[re.Match[str]], start: int, tag: str) -> int:
-    """The token that closes the element begun at start."""
-    depth = 0
-    for k in range(start, len(tokens)):
-        if tokens[k][3] and tokens[k][3].lower() == tag and not tokens[k][4].endswith("/"):
-            depth += -1 if tokens[k][2] else 1
-            if not depth:
-                return k
-    return len(tokens)
-
-
-def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Ranges of lines from a surge (the window's sum leaves zero) to a dive (it is zero again), trimmed to lines with text."""
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
-    out, i = [], 0
-    while i < len(sums):
-        if not sums[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(sums) and sums[j]:
-            j += 1
-        full = [k for k in range(i, min(j + window, len(lengths))) if lengths[k]]
-        full = [k for k in full if k < j]
-        if full:
-            out.append((full[0], full[-1] + 1))
-        i = j
+def bordered(lines: list[Line], window: int = WINDOW) -> list[Line]:
+    """The lines with empty ones where an article begins or ends."""
+    out: list[Line] = []
+    for line in lines:
+        if out and line.kept and line.article != out[-1].article:
+            out += [Line("", 0, False, 0, 0)] * window
+        out.append(line)
     return out
 
 
+def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first, end, most) of the lines from each surge, where the window's sum leaves zero, to its dive, where it is zero again, trimmed to lines with a length; most: the largest window's sum."""
+    total = [0]
+    for n in lengths:
+        total.append(total[-1] + n)
+    out, first, last, most = [], -1, -1, 0
+    for i in range(len(lengths)):
+        here = total[min(i + window, len(lengths))] - total[i]  # of the window that begins at i
+        if here:
+            most = max(most, here)
+            if lengths[i]:
+                first, last = (i if first < 0 else first), i
+        elif first >= 0:
+            out.append((first, last + 1, most))
+            first, most = -1, 0
+    return out if first < 0 else [*out, (first, last + 1, most)]
+
+
 def main_text(page: str | None) -> str:
     """The page's article, one line for each block."""
-    lines = lines_of(page or "")
-    size: dict[int, int] = {}
-    for text, kept, article in lines:
-        if kept and article:
-            size[article] = size.get(article, 0) + len(text)
-    best = max(size, key=lambda a: (size[a], -a), default=0)
-    lengths = [len(text) if kept and (not best or article == best) else 0 for text, kept, article in lines]
-    found = stretches(lengths)
-    total = [sum(lengths[a:b]) for a, b in found]
-    keep = [r for r, n in zip(found, total) if best or n >= SHARE * max(total)]
-    return "\n".join(lines[k][0] for a, b in keep for k in range(a, b) if lengths[k])
+    lines = bordered(lines_of(page or ""))
+    found = stretches([x.length for x in lines])
+    size: Counter[int] = Counter()
+    for a, b, _ in found:
+        if lines[a].main:
+            size[lines[a].article] += sum(x.length for x in lines[a:b])
+    if size:
+        best = max(size, key=lambda k: (size[k], -k))
+        main = next(lines[a].main for a, _, _ in found if lines[a].article == best)
+        # in its main element: its own lines, and articles of a like size
+        found = [r for r in found if lines[r[0]].main == main and (lines[r[0]].article == main or size[lines[r[0]].article] >= SHARE * size[best])]
+    else:
+        least = min(SURGE, max((most for _, _, most in found), default=0))
+        found = [r for r in found if r[2] >= least]
+    return "\n".join(x.text for a, b, _ in found for x in lines[a:b] if x.kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
