@@ -3,7 +3,7 @@
 For each language every piece of a fixed public vocabulary has a probability. A word's probability in a language is the
 sum over all its segmentations into pieces of the product of their probabilities, which a forward algorithm computes; a
 text's is the product over its words. Piece probabilities are fitted by expectation maximisation on a bounded sample:
-about ``SAMPLE_DOCS`` documents of each language, of at most ``SAMPLE_CHARS`` characters each.
+about ``SAMPLE_DOCS`` documents of each language, of longer texts ``SAMPLE_CHARS`` characters. Texts are judged whole.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0; so is every text if nothing was learned.
 Ties go to the language that sorts first. Documents with null lang teach nothing. Repeated rows get the same answer.
@@ -212,14 +212,14 @@ class Scorer:
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = SAMPLE_DOCS, most_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(lang, text) of about per_language documents of each language, chosen by a hash of the id; documents of one id count once."""
-    usable = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
+    """(lang, text) of about per_language documents of each language, chosen by a hash of the id, up to most_chars of each text; documents of one id count once."""
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     of = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not of:
         return []
     share = F.create_map(*[F.lit(x) for k, n in of.items() for x in (k, min(1.0, per_language / n))])
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    rows = chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("doc_id")).collect()
+    rows = chosen.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, most_chars)).alias("text")).orderBy("lang", F.xxhash64("doc_id")).collect()
     return [(r["lang"], r["text"]) for r in rows]
 
 
