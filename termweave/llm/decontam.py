@@ -4,14 +4,15 @@ One pass over all documents counts, in passages of ``PASSAGE`` words, in how man
 the Gram matrix of the passages times a random matrix. From these comes a randomised singular value decomposition
 (Nystroem's, which needs no second pass) of the TF-IDF matrix of passages, whose first right vectors span the latent
 space. A second pass slides windows of each item's length over every text and keeps those whose cosine to the item in
-that space is at least ``COSINE``; each of these is a candidate until one of its run is accepted. It is contaminated if the longest common subsequence of words covers
-``WHOLE`` of the item, or, as a paraphrase, ``PART`` of it and ``ANSWER`` of its answer, which is its last sentence.
+that space is at least ``COSINE``; each of these is a candidate until one of its run is accepted. It is contaminated if the
+longest common subsequence of words covers ``WHOLE`` of the item, or, as a paraphrase, ``PART`` of it and ``ANSWER`` of
+its answer, which is its last sentence.
 
 The latent space has the benchmark's words only, without those in over ``STOP`` of the distinct items, but always with
-the ``RAREST`` rarest words of each; a window is looked at if
-it holds at least ``SHARE`` as many of them as the item, and compared word by word if, with its margins, at least ``OWN``
-as many of the item's own. Items are taken in blocks of ``BLOCK``, which bounds what is
-broadcast and gathered: a block's words times the rank.
+the ``RAREST`` rarest words of each. What can't be accepted is not compared: a subsequence of ``PART`` of an item's n
+words leaves out at most (1 - PART) n of them, so of its f features f - (1 - PART) n stand in the window with its margins,
+and a third of these in some window. Sums over windows are of whole numbers, so they don't depend on the texts around.
+Items are taken in blocks of ``BLOCK``, which bounds what is broadcast and gathered: a block's words times the rank.
 
 Defined cases: null and empty texts, and items without words, match nothing. Of equal items each is reported. Repeated
 rows get the same findings. Other columns stay, but one named leaks is replaced.
@@ -37,8 +38,8 @@ PASSAGE = 64
 RANK, EXTRA = 24, 8
 COSINE = 0.6
 STOP = 0.08
-SHARE = 0.6
-OWN = 0.5
+#: Steps of the latent coordinates.
+STEP = 2.0**-20
 #: So many words of every item are features however many items they are in, so that each item is searched.
 RAREST = 8
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
@@ -191,11 +192,15 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 class Searcher:
     def __init__(self, items: Items, space: np.ndarray, cosine: float = COSINE) -> None:
+        space = np.rint(space.astype(np.float64) / STEP)
         self.items, self.space, self.cosine = items, space, cosine
-        at = np.array([space[f].sum(0) if len(f) else np.zeros(space.shape[1]) for f in items.features], np.float32).reshape(len(items.ids), -1)
+        at = np.array([space[f].sum(0) if len(f) else np.zeros(space.shape[1]) for f in items.features]).reshape(len(items.ids), -1)
         self.unit = at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
+        self.unit32 = self.unit.astype(np.float32)
         size = np.array([len(s) for s in items.seq])
         self.size, self.n_features = size, np.array([len(f) for f in items.features])
+        #: So many of an item's features at least stand in whatever is accepted for it.
+        self.needed = np.maximum(1, np.ceil(self.n_features - (1 - PART) * size - 1e-9)).astype(np.int64)
         #: Items of about equal length share their windows.
         self.groups: dict[int, np.ndarray] = {}
         bucket = np.round(np.log(np.maximum(size, 1)) / np.log(STRETCH)).astype(int)
@@ -215,37 +220,40 @@ class Searcher:
             return
         doc = w.doc[at]
         text_end = np.searchsorted(w.doc, doc, "right")
-        total = np.zeros((len(at) + 1, self.space.shape[1]), np.float32)
+        total = np.zeros((len(at) + 1, self.space.shape[1]))
         np.cumsum(self.space[f[at]], 0, out=total[1:])
         for length, which in self.groups.items():
             end = np.searchsorted(at, np.minimum(at + length, text_end))
-            some = np.flatnonzero(end - np.arange(len(at)) >= SHARE * self.n_features[which].min())
+            some = np.flatnonzero(3 * (end - np.arange(len(at))) >= self.needed[which].min())
             if not len(some):
                 continue
             x = total[end[some]] - total[some]
             norm = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x), 1e-24))
-            dot = x @ self.unit[which].T
-            k, i = np.divmod(np.flatnonzero(dot >= (self.cosine * norm)[:, None]), len(which))
-            full = (end[some] - some)[k] >= SHARE * self.n_features[which[i]]
+            # a first look in single precision, whose last digits depend on how many windows there are
+            dot = (x / norm[:, None]).astype(np.float32) @ self.unit32[which].T
+            k, i = np.divmod(np.flatnonzero(dot >= self.cosine - 1e-5), len(which))
+            full = 3 * (end[some] - some)[k] >= self.needed[which[i]]
             k, i = k[full], i[full]
+            value = np.einsum("ij,ij->i", x[k], self.unit[which[i]]) / norm[k]
+            k, i, value = (y[value >= self.cosine] for y in (k, i, value))
             if not len(k):
                 continue
             order = np.lexsort((k, i))
-            k, i = k[order], i[order]
+            k, i, value = k[order], i[order], value[order]
             start = at[some[k]]
             new = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[some[k[1:]]] != doc[some[k[:-1]]]) | (start[1:] - start[:-1] > length // 2)))
             run = np.cumsum(new) - 1
-            value = dot[k, i] / norm[k]
             order = np.lexsort((-value, run))
             for lo in range(0, len(order), AT_ONCE):
                 best = order[lo : lo + AT_ONCE]
                 row, item, begin, cos, number = some[k[best]], which[i[best]], start[best], value[best], run[best]
                 # how many of the item's own words stand in the window and its margins
-                first, last = np.searchsorted(at, begin - length // 2), np.searchsorted(at, begin + length + length // 2)
+                size = self.size[item]
+                first, last = np.searchsorted(at, begin - size // 2), np.searchsorted(at, begin + size + size // 2)
                 n = last - first
                 each = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 hit = self.own[np.repeat(item, n), f[at[each]]] & (doc[each] == np.repeat(doc[row], n))
-                full = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) >= OWN * self.n_features[item]
+                full = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) >= self.needed[item]
                 yield from (((length, r), *x) for r, *x in zip(number[full].tolist(), doc[row[full]].tolist(), item[full].tolist(), begin[full].tolist(), cos[full].tolist()))
 
     def __call__(self, texts: pa.Array) -> list[list[dict]]:

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -229,6 +230,36 @@ def test_decontamination(spark, odd, none, real):
     assert decontam.report(none, bench).count() == 0 and decontam.report(odd, bench.limit(0)).count() == 0
 
 
+def test_paraphrases_are_found(spark):
+    """Of what the word-by-word checks accept at the place where it stands, the latent search keeps at least 0.9."""
+    r = random.Random(4)
+    items = duckdb.sql("SELECT item_id, text FROM '/root/testdata/sf0.01/benchmark.parquet' ORDER BY 1").fetchall()
+    other = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 2000 ORDER BY doc_id").fetchall()]
+    rows, want = [], set()
+    for k, (i, t) in enumerate(items * 4):
+        words = t.split()
+        share = (0.1, 0.2, 0.25, 0.3)[k // len(items)]
+        near = [w if r.random() > share else r.choice(["", r.choice(words), "zq" + w]) for w in words]
+        around = r.choice(other).split()[:200]
+        rows.append((k, " ".join(around[:100] + near + around[100:])))
+        seq, window = decontam.hashes(t), decontam.hashes(" ".join(around[70:100] + near + around[100:130]))
+        shared, answer = decontam.common(seq, window), decontam.hashes(decontam.answer_of(t))
+        if shared >= decontam.WHOLE * len(seq) or shared >= decontam.PART * len(seq) and decontam.common(answer, window) >= decontam.ANSWER * len(answer):
+            want.add((k, i))
+    got = {(x.doc_id, x.item_id) for x in decontam.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 80 and len(want & got) >= 0.9 * len(want), (len(want & got), len(want))
+
+
+def test_findings_do_not_depend_on_other_texts(spark):
+    bench = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    items = decontam.prepare(bench)
+    space = np.random.default_rng(0).standard_normal((items.size, 24)).astype(np.float32)
+    find = decontam.Searcher(items, space, 0.3)
+    whole = find(pa.array(texts))
+    assert any(whole) and whole == [x for t in texts for x in find(pa.array([t]))] and whole == [x for k in range(0, len(texts), 7) for x in find(pa.array(texts[k : k + 7]))]
+
+
 def test_every_window_of_a_run(spark):
     r = random.Random(77)
     bench, rows = [], []
@@ -269,6 +300,14 @@ def test_language_held_out_accuracy(spark, real, odd, none, held):
     assert langid.sample(none, ~held) == [] and langid.identify(none, model).count() == 0
 
 
+def test_language_of_long_texts_only(spark, held):
+    some = {lang: t for _, t, lang in duckdb.sql(f"SELECT * FROM (SELECT doc_id, text, lang FROM '{SF}/documents.parquet' WHERE lang IN ('en', 'fr') AND length(text) > 300)").fetchall()}
+    rows = [(i, some["en"] if i % 2 else (some["fr"] + " ") * (1 + 30_000 // len(some["fr"])), "en" if i % 2 else "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.sample(docs, ~held), langid.load_pieces(public_tokenizers.path(queries.VOCABULARY)))
+    assert model.languages == ["en", "fr"] and all(r.lang_pred == r.lang for r in langid.identify(docs, model).collect())
+
+
 def brute(vectors, queries_, k=10):
     out = {}
     for q, v in queries_.items():
