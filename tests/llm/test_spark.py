@@ -69,6 +69,17 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_whole_licences_ties_and_shared_ids(spark):
+    wide = "Copyright (c) 1999, The Holders\nAll of them.\n".replace("All of them.\n", "")
+    rows = [(1, wide + licenses.BSD_3.replace(", ", ",  ").replace("\n", "\n\n")), (1, "Released under CC0 1.0."), (1, "nothing"), (2, licenses.BSD_2.lower()), (3, licenses.ZERO_BSD), (4, licenses.ZLIB.replace("acknowledgment", "acknowledgement")),
+            (5, licenses.UNLICENSE), (6, "x\nReleased under the MIT License.\nAll rights reserved."), (7, licenses.BSD_2 + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.license or "", r.line_licenses or "") for r in licenses.scan(df).collect())
+    assert got == [(1, "", ""), (1, "BSD-3-Clause", ""), (1, "CC0-1.0", "CC0-1.0"), (2, "BSD-2-Clause", ""), (3, "0BSD", ""), (4, "Zlib", ""), (5, "Unlicense", ""), (6, "", "MIT,Proprietary"), (7, "", "")]
+    known = licenses.registry(spark, [("Z", "Same text."), ("A", "same TEXT")])
+    assert [(r.license, r.line_licenses) for r in licenses.scan(spark.createDataFrame([(1, "same text!")], df.schema), known).collect()] == [("A", "A")]
+
+
 def test_license_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
