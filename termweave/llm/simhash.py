@@ -21,13 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.columns import fresh
 from termweave.llm.components import components
 from termweave.llm.wordspans import Words, chunks, mix, words
-from termweave.session import remove, written
+from termweave.session import gathered, remove, written
 
 #: A perfect difference set modulo 13; its shifts are the lines of the projective plane of order 3.
 LINE, POINTS = (0, 1, 3, 9), 13
@@ -196,8 +196,9 @@ def may_be_near(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
 def prefixes(h: np.ndarray, row: np.ndarray, n: np.ndarray, similarity: float, frequent: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the first of its n distinct shingles, rare ones before frequent ones, their row, and whether they are frequent.
 
-    Two texts of at least this similarity share at least similarity * n shingles of either one. So, whatever the order,
-    they share one among the first n - ceil(similarity * n) + 1 of each.
+    Texts of n and m <= n shingles and at least this similarity s share o >= s / (1 + s) * (n + m) shingles, which is at
+    least s * n. Whatever the order, the first one they share has o - 1 behind it in both, so it stands among the first
+    n - o + 1 of the one and m - o + 1 of the other, and these are in the prefixes of n - ceil(s * n) + 1.
     """
     often = np.zeros(len(h), np.int64)
     if len(frequent):
@@ -210,6 +211,7 @@ def prefixes(h: np.ndarray, row: np.ndarray, n: np.ndarray, similarity: float, f
     return h[order][keep], row[keep], often[order][keep] > 0
 
 
+#: rare, hot: the prefix's shingles that aren't and, after them, that are frequent.
 PROFILE = "node long, fps array<long>, n int, bits binary, rare array<long>, hot array<long>"
 
 
@@ -239,7 +241,7 @@ def profiles(texts: pa.Array, size: int, similarity: float, sets: int, frequent:
     lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(joined(at, np.int64)))), pa.int32()), pa.array(joined(values, np.uint64).view(np.int64))) for at, values in tokens]
     flat = pa.array(joined([x.ravel() for x in fps], np.uint64).view(np.int64))
     each = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * sets, pa.int32()), flat)
-    return pa.StructArray.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), each, pa.array(joined(sizes, np.int64).astype(np.int32)), pa.array(bits, pa.binary()), *lists], ["node", "fps", "n", "bits", "rare", "hot"])
+    return pa.StructArray.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), each, pa.array(joined(sizes, np.int64).astype(np.int32)), pa.array(bits, pa.binary()), *lists], [x.split()[0] for x in PROFILE.split(", ")])
 
 
 def _profile_udf(size: int, similarity: float, sets: int, shared):
@@ -277,12 +279,19 @@ def _frequent(docs: DataFrame, size: int):
     return docs.sparkSession.sparkContext.broadcast((h[order], top["c"].to_numpy(np.int64)[order]))
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """token, node, n: shingles of prefixes that several nodes have. Frequent ones pass as they are, so no group that is gathered here is large."""
-    rare = rows.select("node", "n", F.explode("rare").alias("token"))
+def _need(n: Column, m: Column | int, similarity: float) -> Column:
+    """How many shingles texts of n and m must share."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9).cast("int")
+
+
+def _members(rows: DataFrame, similarity: float) -> DataFrame:
+    """token, node, n, place, centre: shingles of prefixes that several nodes have, their places there, and whether these
+    allow the text to be the smaller of two near ones. Frequent shingles pass as they are, so no group that is gathered here is large."""
+    rare = rows.select("node", "n", F.posexplode("rare").alias("place", "token"))
     group = Window.partitionBy("token")
-    rare = rare.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi").select("token", "node", "n")
-    return rare.unionByName(rows.select(F.explode("hot").alias("token"), "node", "n")).distinct()
+    rare = rare.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo < hi").select("token", "node", "n", "place")
+    hot = rows.select("node", "n", F.size("rare").alias("before"), F.posexplode("hot").alias("place", "token")).select("token", "node", "n", (F.col("place") + F.col("before")).alias("place"))
+    return rare.unionByName(hot).distinct().withColumn("centre", F.col("place") + _need(F.col("n"), F.col("n"), similarity) <= F.col("n"))
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -321,52 +330,64 @@ class _Verifier:
         self.sets = more if self.sets is None else self.sets.unionByName(more)
         remove(wanted)
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b. src, dst of those that are near, written."""
+    def __call__(self, pairs: DataFrame) -> DataFrame | None:
+        """pairs: a, b, written. src, dst of those that are near, written; None if there are none."""
+        rows = pairs.count()
+        if not rows:
+            return None
         a, b = (self.marks.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
-        may = written(pairs.join(a, "a").join(b, "b").where(self._allowed()("bitsa", "bitsb", "na", "nb")).select("a", "b"), "allowed")
-        ends = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
-        self._add(ends)
-        x, y = self.sets.select(F.col("node").alias("a"), F.col("h").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-        shared = F.size(F.array_intersect("x", "y"))
-        near = may.join(x, "a").join(y, "b").where(shared >= F.lit(self.similarity) * (F.size("x") + F.size("y") - shared))
-        out = written(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+        may = written(gathered(pairs.join(a, "a").join(b, "b").where(self._allowed()("bitsa", "bitsb", "na", "nb")).select("a", "b"), rows), "allowed")
+        rows, out = may.count(), None
+        if rows:
+            ends = may.select(F.col("a").alias("node")).unionByName(may.select(F.col("b").alias("node"))).distinct()
+            self._add(ends)
+            x, y = self.sets.select(F.col("node").alias("a"), F.col("h").alias("x")), self.sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
+            shared = F.size(F.array_intersect("x", "y"))
+            near = may.join(x, "a").join(y, "b").where(shared >= F.lit(self.similarity) * (F.size("x") + F.size("y") - shared))
+            out = written(gathered(near.select(F.col("a").alias("src"), F.col("b").alias("dst")), rows), "links")
+            out = out if out.limit(1).count() else None
         remove(may)
         return out
 
 
 def _complete(members: DataFrame, linked: DataFrame, check: _Verifier, similarity: float) -> DataFrame:
-    """members: token, node, n, the groups of nodes that share a shingle of their prefixes; linked: src, dst so far. All links' components.
+    """members: from ``_members``, the groups of nodes that share a shingle of their prefixes; linked: src, dst so far. All links' components.
 
-    Each round compares a few centres of every group with all members that no link has joined to them yet, then drops
-    these centres from the group, and groups that are in one component. So at the end each pair of a group has been
-    compared or is joined by other links. Centres multiply each round, so that few rounds do.
+    Each round takes a few of those members of every group that may be the smaller text of a pair as centres, compares
+    them with all members that are larger, stand early enough for both sizes, and that no link has joined to them yet,
+    then drops them as centres, and groups that are in one component or have no centre left. At the end each pair of a
+    group has been compared, can't be near, or is joined by other links. Centres multiply each round, so that few rounds do.
     """
     found = written(components(linked), "components")
     k = CENTRES
     while True:
-        rooted = members.join(found, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        left = written(rooted.join(mixed, "token", "left_semi"), "members")
+        rooted = members.join(found, "node", "left").select("token", "node", "n", "place", "centre", F.coalesce("root", "node").alias("root"))
+        live = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("centre").alias("c")).where("lo < hi and c").select("token")
+        rows = members.count()
+        left = written(gathered(rooted.join(live, "token", "left_semi"), rows), "members")
         remove(members)
-        if not left.limit(1).count():
+        rows = left.count()
+        if not rows:
             remove(left)
             return found
-        centres = left.groupBy("token", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(k)).alias("salt")).agg(F.min(F.struct("node", "n", "root")).alias("c"))
-        centres = written(centres.select("token", F.col("c.node").alias("cn"), F.col("c.n").alias("m"), F.col("c.root").alias("croot")), "centres")
-        near = left.join(centres, "token").where((F.col("root") != F.col("croot")) & (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-6))
-        pairs = written(near.select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct(), "pairs")
+        centres = left.where("centre").groupBy("token", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(k)).alias("salt")).agg(F.min(F.struct("node", "n", "root", "place")).alias("c"))
+        centres = written(gathered(centres.select("token", F.col("c.node").alias("cn"), F.col("c.n").alias("m"), F.col("c.root").alias("croot"), F.col("c.place").alias("cplace")), rows), "centres")
+        n, m, need = F.col("n"), F.col("m"), _need(F.col("n"), F.col("m"), similarity)
+        near = left.join(centres, "token").where((F.col("root") != F.col("croot")) & (n >= m) & (F.col("place") + need <= n) & (F.col("cplace") + need <= m))
+        pairs = written(gathered(near.select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct(), 2 * rows), "pairs")
         new = check(pairs)
-        if new.limit(1).count():
+        if new is not None:
             old = found.select(F.col("node").alias("src"), F.col("root").alias("dst"))  # stars that say the same as all links so far
             more = written(components(old.unionByName(new)), "components")
             remove(found)
+            remove(new)
             found = more
-        used = centres.select("token", F.col("cn").alias("node"))
-        members = written(left.join(used, ["token", "node"], "left_anti").select("token", "node", "n"), "members")
-        for done in (left, centres, pairs, new):
+        used = centres.select("token", F.col("cn").alias("node"), F.lit(True).alias("used"))
+        members = left.join(used, ["token", "node"], "left").select("token", "node", "n", "place", (F.col("centre") & F.col("used").isNull()).alias("centre"))
+        members = written(gathered(members, rows), "members")
+        for done in (left, centres, pairs):
             remove(done)
-        k *= 4
+        k *= 8
 
 
 def _close(values: DataFrame) -> DataFrame:
@@ -399,13 +420,14 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, sets: i
     rows = written(rows.select("doc_id", "text_hash", "p.*"), "profiles")
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     nodes = written(nodes, "nodes")
-    members = written(_members(rows), "members")
+    members = written(_members(rows, similarity), "members")
     each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
     least = written(each.groupBy("s", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
     equal = each.join(least.where("n > 1"), ["s", "fp"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     pairs = written(equal.unionByName(_close(least.select("s", "fp", F.col("least").alias("node")))).distinct(), "pairs")
     check = _Verifier(docs, nodes, size, similarity)
-    found = _complete(members, check(pairs), check, similarity)
+    near = check(pairs)
+    found = _complete(members, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).limit(0) if near is None else near, check, similarity)
     rooted = nodes.join(found, "node", "left").select("node", "row", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("row").alias("first"), F.min("row.doc_id").alias("group_id"))
     labels = written(rooted.join(first, "root").select("node", "first", "group_id"), "labels")
