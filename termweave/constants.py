@@ -25,8 +25,13 @@ HONORIFIC = frozenset("shri smt sh dr prof mr mrs ms hon hon'ble shrimati kumari
 OFFICE = frozenset("""ministry department secretariat commission council authority
 board bureau office cabinet committee corporation institute organisation organization""".split())
 
-#: What may follow a name that is a system's.
-SYSTEM = "platform portal system systems app application tool toolkit mission model engine dashboard chatbot bot software module suite framework initiative scheme programme program project solution technology".split()
+#: Patterns of a capitalised name, of a bare acronym, of an office's abbreviation, and of what follows a system's name.
+CAPITALS = r"\b([A-Z][A-Za-z0-9]{2,}(?:\s+[A-Z][A-Za-z0-9]{2,}){0,3})\b"
+ACRONYM = r"^[A-Z]{2,6}s?$"
+ABBREVIATION = r"^(?:Mo|Do|Dept)[A-Z]"
+SYSTEM = r"^(?:platform|portal|system|systems|app|application|tool|toolkit|mission|model|engine|dashboard|chatbot|bot|software|module|suite|framework|initiative|scheme|programme|program|project|solution|technology)\b"
+#: Fixed value: the channel of names found near a term.
+NEAR = "near-AI name"
 
 #: Terms that never come in by expansion.
 BLOCKED = frozenset({"intelligence", "smart cities mission", "digital india"})

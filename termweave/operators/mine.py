@@ -10,25 +10,35 @@ from pyspark.sql import functions as F
 from termweave.functions import text as T
 
 
+def _firsts(names: Column) -> Column:
+    """Of an array of names those whose key didn't come before; texts hold few names."""
+    return F.filter(names, lambda x, i: F.array_position(names["key"], x["key"]) == i + 1)
+
+
 def candidates(texts: DataFrame, anchors: Sequence[str] = ()) -> DataFrame:
-    """texts: relid, text. key, relid, surface, kind, rank (channel, sub, at: which mention is first within a text)."""
+    """texts: relid, text. key, relid, surface, kind, rank: each key of a text once, as it is first met by channel and place."""
 
-    def channel(number: int, names: Column) -> DataFrame:
-        rows = texts.select("relid", F.explode(names).alias("x")).where("length(x.surface) >= 3")
-        return rows.select(F.lower("x.surface").alias("key"), "relid", "x.surface", "x.kind", F.struct(F.lit(number).alias("channel"), "x.sub", "x.at").alias("rank"))
+    def channel(number: int, names: Column) -> Column:
+        long = F.filter(names, lambda x: F.length(x["surface"]) >= 3)
+        return F.transform(long, lambda x: F.struct(F.lower(x["surface"]).alias("key"), x["surface"].alias("surface"), x["kind"].alias("kind"), F.struct(F.lit(number).alias("channel"), x["sub"].alias("sub"), x["at"].alias("at")).alias("rank")))
 
-    out = channel(1, T.shapes("text"))
+    names = channel(1, T.shapes("text"))
     if anchors:
-        out = out.unionByName(channel(2, T.near_names(anchors)("text")))
-    grams = texts.select("relid", F.explode(T.grams(T.tokens("text"))).alias("key"))
+        names = F.concat(names, channel(2, T.near_names(anchors)("text")))
+    rows = texts.select("relid", names.alias("names"), T.grams(T.tokens("text")).alias("grams"))
+    rows = rows.select("relid", _firsts(F.col("names")).alias("names"), "grams")
     kind = F.concat((F.length("key") - F.length(F.replace("key", F.lit(" "), F.lit(""))) + 1).cast("string"), F.lit("-gram"))
     rank = F.struct(F.lit(3).alias("channel"), F.lit(0).alias("sub"), F.lit(0).alias("at"))
-    return out.unionByName(grams.select("key", "relid", F.col("key").alias("surface"), kind.alias("kind"), rank.alias("rank")))
+    # a phrase that is also a name's key gives way to it, so no key of a text comes twice
+    grams = rows.select("relid", F.explode(F.array_except("grams", F.col("names")["key"])).alias("key")).select("key", "relid", F.col("key").alias("surface"), kind.alias("kind"), rank.alias("rank"))
+    return rows.select("relid", F.explode("names").alias("x")).select("x.key", "relid", "x.surface", "x.kind", "x.rank").unionByName(grams)
 
 
-def postings(found: DataFrame) -> DataFrame:
-    """key, relid without repeats."""
-    return found.select("key", "relid").distinct()
+def supported(found: DataFrame, known: DataFrame, blocked: Sequence[str], least: int) -> DataFrame:
+    """The candidates that are neither known (key) nor blocked and stand in ``least`` texts at least: no other can in any parent."""
+    fresh = found.join(known, "key", "left_anti").where(~F.col("key").isin(*blocked))
+    enough = fresh.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
+    return fresh.join(enough, "key", "left_semi")
 
 
 def dimension(found: DataFrame) -> DataFrame:

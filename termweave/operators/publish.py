@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AUTO = ("*GPT", "Smart*", "AI-*", "*Drishti", "*bot")
@@ -23,7 +23,7 @@ def statuses(terms: DataFrame, prior: DataFrame) -> DataFrame:
     kept, auto = F.coalesce(F.col("_s") == "accepted", F.lit(False)), F.col("kind").isin(*AUTO)
     rows = terms.join(old, "term", "left").withColumns({
         "status": F.when(kept | (F.col("round") == 0) | auto, "accepted").otherwise("candidate"),
-        "reviewed_by": F.when(kept, F.coalesce("_by", F.lit("human"))).when(F.col("round") == 0, "seed").when(auto, "auto-morph").otherwise("auto-k1"),
+        "reviewed_by": F.when(kept, F.coalesce(F.nullif("_by", F.lit("")), F.when(F.col("round") == 0, "seed").otherwise("human"))).when(F.col("round") == 0, "seed").when(auto, "auto-morph").otherwise("auto-k1"),
         "channel": F.col("kind"),
     })
     return rows.drop("_s", "_by", "kind")
@@ -57,14 +57,12 @@ def expansion_tree(terms: DataFrame) -> DataFrame:
     return rows.select(F.col("parent_term").alias("seed"), F.col("term").alias("extended_term"), "round", "channel", "status", F.col("doc_freq").alias("releases_matched")).orderBy("seed", "status", F.desc("releases_matched"), "extended_term")
 
 
-def create_views(spark: SparkSession, terms: DataFrame, matches: DataFrame, releases: DataFrame) -> None:
+def views(terms: DataFrame, matches: DataFrame, releases: DataFrame) -> dict[str, DataFrame]:
     """The five views by name."""
-    made = {
+    return {
         "v_accepted_keywords": accepted_keywords(terms), "v_keyword_yield": keyword_yield(terms, matches), "v_hits_by_year": hits_by_year(matches, releases),
         "v_ai_pool": pool(matches, releases), "v_expansion_tree": expansion_tree(terms),
     }
-    for name, df in made.items():
-        df.createOrReplaceTempView(name)
 
 
 def first_round(term_docs: DataFrame) -> DataFrame:

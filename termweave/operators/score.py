@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 
 def support(posts: DataFrame, parents: DataFrame, least: int) -> DataFrame:
-    """parent, key, in_parent of at least ``least``. parents: term, relid."""
-    # a key of fewer documents than that in all can't reach it in any parent
-    enough = posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
-    pairs = posts.join(enough, "key", "left_semi").join(parents.select(F.col("term").alias("parent"), "relid"), "relid")
+    """parent, key, in_parent of at least ``least``. posts: key, relid without repeats; parents: term, relid."""
+    pairs = posts.join(parents.select(F.col("term").alias("parent"), "relid"), "relid")
     return pairs.groupBy("parent", "key").agg(F.count("*").alias("in_parent")).where(F.col("in_parent") >= least)
 
 

@@ -60,10 +60,15 @@ txt AS MATERIALIZED (SELECT relid, {mined('title', 'body_text')} AS text FROM do
 idx AS MATERIALIZED (SELECT relid, {index_form('title')} AS t, {index_form('body_text')} AS b FROM docs)"""
 
 
-def seeds(terms: Sequence[str]) -> str:
-    return f"""seeds AS (SELECT term, pos, {phrase('term')} AS q FROM (VALUES {values([(t, k) for k, t in enumerate(terms, 1)])}) AS v(term, pos)),
-td0 AS MATERIALIZED (SELECT s.term, i.relid, 0 AS round, s.pos FROM seeds s JOIN idx i ON s.q <> '' AND (contains(i.t, ' ' || s.q || ' ') OR contains(i.b, ' ' || s.q || ' '))),
-terms0 AS MATERIALIZED (SELECT term, pos, 0 AS round, 'seed' AS kind, CAST(NULL AS VARCHAR) AS "primary" FROM seeds),
+def seeds(terms: Sequence[str], earlier: Sequence[Sequence[object]] = ()) -> str:
+    """seeds, and as round 0 td0, terms0, edges0; earlier: term, round, parent and reviewer of terms accepted before."""
+    rows = [(t, k, 0, "seed", None) for k, t in enumerate(terms, 1)]
+    known = {t.lower() for t in terms}
+    more = sorted(e for e in earlier if str(e[0]).lower() not in known)
+    rows += [(t, len(terms) + k, r if r > 0 else 1, by or "human", parent) for k, (t, r, parent, by) in enumerate(more, 1)]
+    return f"""seeds AS (SELECT term, pos, round, kind, CAST(parent AS VARCHAR) AS parent, {phrase('term')} AS q FROM (VALUES {values(rows)}) AS v(term, pos, round, kind, parent)),
+td0 AS MATERIALIZED (SELECT s.term, i.relid, s.round, s.pos FROM seeds s JOIN idx i ON s.q <> '' AND (contains(i.t, ' ' || s.q || ' ') OR contains(i.b, ' ' || s.q || ' '))),
+terms0 AS MATERIALIZED (SELECT term, pos, round, kind, parent AS "primary" FROM seeds),
 edges0 AS (SELECT '' AS child_term, '' AS parent_term, 0 AS round, 0 AS docs_in_parent WHERE false)"""
 
 
@@ -108,7 +113,7 @@ runs AS MATERIALIZED (SELECT DISTINCT relid, gram FROM (
 
 def round_(r: int, min_in: int = 3, min_lift: float = 3.0, top: int = 40, max_df: float = 0.25) -> str:
     b = r - 1
-    return f"""p{r} AS MATERIALIZED (SELECT term, relid, pos FROM td{b} WHERE round = {b}),
+    return f"""p{r} AS MATERIALIZED (SELECT term, relid, pos FROM td{b} WHERE {"true" if b == 0 else f"round = {b}"}),
 u{r} AS (SELECT DISTINCT relid FROM p{r}),
 size{r} AS (SELECT term AS parent, pos AS parent_pos, count(*) AS parent_docs FROM p{r} GROUP BY ALL),
 support{r} AS MATERIALIZED (SELECT p.term AS parent, m.key, count(*) AS in_parent FROM (SELECT DISTINCT key, relid FROM mined) m JOIN p{r} p USING (relid)
@@ -130,8 +135,8 @@ td{r} AS MATERIALIZED (SELECT term, relid, round, pos FROM td{b} UNION ALL SELEC
 edges{r} AS (SELECT * FROM edges{b} UNION ALL SELECT term, parent, {r}, in_parent FROM taken{r})"""
 
 
-def expansion(terms: Sequence[str], rounds: int) -> str:
-    return "WITH " + ", ".join([RELEASES, seeds(terms), *([MINED] if rounds else []), *[round_(r) for r in range(1, rounds + 1)]])
+def expansion(terms: Sequence[str], rounds: int, earlier: Sequence[Sequence[object]] = ()) -> str:
+    return "WITH " + ", ".join([RELEASES, seeds(terms, earlier), *([MINED] if rounds else []), *[round_(r) for r in range(1, rounds + 1)]])
 
 
 def confirmed(terms: Sequence[str], hits: str) -> str:
@@ -197,5 +202,29 @@ def parsed() -> str:
         WHEN len(list_filter(warn, lambda x: x NOT IN ('title_from_heading', 'title_from_body'))) > 0 THEN 'partial' ELSE 'ok' END AS parse_status FROM e)"""
 
 
-RESPONSES = "log AS (SELECT event_id AS relid, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 302 WHEN event_id % 23 = 2 THEN 404 ELSE 200 END AS http_status, (event_id * 37) % 2400 AS elapsed_ms, CASE WHEN event_id % 17 = 0 THEN 'timeout' END AS err, event_id % 8 AS session FROM events)"
+RESPONSES = "log AS (SELECT event_id AS relid, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 302 WHEN event_id % 23 = 2 THEN 404 ELSE 200 END AS http_status, (event_id * 37) % 2400 AS elapsed_ms, CASE WHEN event_id % 17 = 0 THEN 'timeout' END AS err, event_id % 8 AS session, ts FROM events)"
 MINISTRY_VALUES = values(MINISTRIES)
+
+
+def paced(spell: float, start: float = 5.0, top: float = 10.0, floor: float = 1.0) -> str:
+    """WITH of the governor's state after every response, as table walk: a fold over each session's rows in order."""
+    eased = f"CASE WHEN rate >= 0.9 * ceiling THEN least(ceiling, greatest({floor}::DOUBLE, 0.8::DOUBLE * rate)) ELSE ceiling END"
+    return f"""WITH RECURSIVE {RESPONSES},
+    n AS MATERIALIZED (SELECT session, relid, http_status AS status, elapsed_ms / 1000.0::DOUBLE AS sec, epoch_us(ts) AS now, row_number() OVER (PARTITION BY session ORDER BY relid) AS k FROM log),
+    walk AS (
+        SELECT session, 0::BIGINT AS k, NULL::BIGINT AS relid, {start}::DOUBLE AS rate, {top}::DOUBLE AS ceiling, now AS since, NULL::DOUBLE AS usual, []::DOUBLE[] AS late, 0 AS slow_run, false AS stopped, '' AS event FROM n WHERE k = 1
+        UNION ALL
+        SELECT session, k, relid,
+            CASE WHEN halved THEN greatest({floor}::DOUBLE, rate / 2) WHEN event = 'ramp' THEN least(ceiling, 1.5::DOUBLE * rate) ELSE rate END,
+            CASE WHEN halved THEN {eased} WHEN event = 'recover' THEN least({top}::DOUBLE, 1.15::DOUBLE * ceiling) ELSE ceiling END,
+            CASE WHEN NOT stopped AND (why <> '' OR event <> '') THEN now ELSE since END, usual, CASE WHEN event = 'backoff-latency' THEN [] ELSE late END, run, stopped OR run >= 25, event
+        FROM (SELECT *, event LIKE 'backoff%' AS halved FROM (SELECT *, CASE WHEN stopped THEN '' WHEN why <> '' THEN CASE WHEN rate > {floor} THEN 'backoff-' || why ELSE '' END
+                WHEN len(late) >= 40 AND usual > 0 AND rate > {floor} AND list_median(late[-40:]) > greatest(3 * usual, 0.4) THEN 'backoff-latency'
+                WHEN rate < ceiling THEN CASE WHEN now - since >= {spell} * 1e6 THEN 'ramp' ELSE '' END
+                WHEN ceiling < {top} AND now - since >= 3 * {spell} * 1e6 THEN 'recover' ELSE '' END AS event
+            FROM (SELECT session, k, relid, status, now, rate, ceiling, since, why, late, stopped, coalesce(usual, CASE WHEN why = '' AND len(late) >= 40 THEN list_median(late) END) AS usual,
+                    CASE WHEN stopped THEN slow_run WHEN why = 'slow-302' THEN slow_run + 1 WHEN why = '' AND status = 302 THEN 0 ELSE slow_run END AS run
+                FROM (SELECT w.session, n.k, n.relid, n.status, n.now, w.rate, w.ceiling, w.since, w.usual, w.slow_run, w.stopped, x.why,
+                        CASE WHEN w.stopped OR x.why <> '' THEN w.late ELSE list_slice(list_append(w.late, n.sec), -200, NULL) END AS late
+                    FROM walk w JOIN n ON n.session = w.session AND n.k = w.k + 1
+                    CROSS JOIN LATERAL (SELECT CASE WHEN n.status IS NULL THEN 'transport' WHEN n.status = 302 THEN CASE WHEN n.sec > 2 THEN 'slow-302' ELSE '' END WHEN n.status <> 200 THEN 'http' || n.status ELSE '' END AS why) x)))))"""

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave import oracle as O  # noqa: N812
-from termweave.constants import MINISTRIES
+from termweave.constants import MINISTRIES, NEAR
 from termweave.functions import html as H  # noqa: N812
 from termweave.functions import text as T  # noqa: N812
 from termweave.operators import match, mine, publish
 from termweave.plans import expand as X  # noqa: N812
-from termweave.session import read_table
+from termweave.plans import persist as P  # noqa: N812
+from termweave.schemas import TABLES
+from termweave.session import read_table, shared_dir
 from termweave.sources import sinks, tables
+from termweave.sources.store import Store
 from termweave.streaming import replay
 
 #: Terms that occur in the test tables; the default seeds hardly do.
@@ -63,12 +67,12 @@ SELECT pos AS n, term AS seed_term, coalesce(m, 0) AS releases_matched, coalesce
 def seed_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     seeds = spark.createDataFrame([(k, t) for k, t in enumerate(SEEDS, 1)], "n int, term string")
-    return publish.seed_yield(match.phrase_hits(docs, SEEDS), seeds, docs.count())
+    return publish.seed_yield(match.phrase_hits(match.indexed(docs), SEEDS), seeds, docs.count())
 
 
 @query(_with(*BASE) + "SELECT term, relid FROM td0")
 def phrase_match_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.phrase_hits(_docs(spark, sf_dir), SEEDS)
+    return match.phrase_hits(match.indexed(_docs(spark, sf_dir)), SEEDS)
 
 
 @query(_with(*BASE) + "SELECT term, relid FROM td0")
@@ -85,14 +89,14 @@ def whole_word_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(*BASE, O.confirmed(SEEDS, "td0")) + "SELECT term, relid, match_count, first_offset FROM matches")
 def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return match.confirmed(docs, match.phrase_hits(docs, SEEDS), SEEDS)
+    return match.confirmed(docs, match.phrase_hits(match.indexed(docs), SEEDS))
 
 
 @query(_with(*BASE, O.confirmed(SEEDS, "td0")) + "SELECT term, relid FROM td0 ANTI JOIN matches USING (term, relid)")
 def confirm_vs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    hits = match.phrase_hits(docs, SEEDS)
-    return hits.join(match.confirmed(docs, hits, SEEDS), ["term", "relid"], "left_anti")
+    hits = match.phrase_hits(match.indexed(docs), SEEDS)
+    return hits.join(match.confirmed(docs, hits), ["term", "relid"], "left_anti")
 
 
 @query(_with(O.RELEASES) + "SELECT relid, title, heading, ministry_raw, release_date, body_text FROM docs")
@@ -127,7 +131,7 @@ def morph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def proximity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mine.candidates(_texts(spark, sf_dir), SEEDS).where("kind = 'near name'")
+    found = mine.candidates(_texts(spark, sf_dir), SEEDS).where(F.col("kind") == NEAR)
     return found.select("key", "relid", "surface").distinct()
 
 
@@ -192,15 +196,18 @@ def releases_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.releases_pool(e.term_docs, e.releases)
 
 
-def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """terms, matches, releases after one round, as they are published."""
+def _published(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
+    """A store with one round's catalogue, beside what editors decided before; and the releases."""
     e = _expand(spark, sf_dir, 1)
+    store = Store.open(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", {k: TABLES[k] for k in ("terms", "term_matches", "term_parents")})
     prior = spark.createDataFrame(list(PRIOR), "term string, status string, reviewed_by string")
-    n = e.term_docs.groupBy("term").agg(F.count("*").alias("n"))
-    rows = publish.statuses(e.terms, prior).join(n, "term", "left").select("term", "round", F.col("primary").alias("parent_term"), "status", "reviewed_by", "channel", F.coalesce("n", F.lit(0)).alias("doc_freq"))
-    accepted = [r["term"] for r in rows.where("status = 'accepted'").select("term").collect()]
-    matches = match.confirmed(e.releases, e.term_docs, accepted)
-    return sinks.set_counts(rows, matches), matches, e.releases
+    store.upsert("terms", prior.withColumns({"round": F.lit(1), "note": F.lit("kept")}), "term")
+    P.persist(store, e)
+    return store, e.releases
+
+
+def _views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return P.views(*_published(spark, sf_dir))
 
 
 _KEPT = "coalesce(p.status = 'accepted', false)"
@@ -213,37 +220,59 @@ freq AS MATERIALIZED (SELECT st.*, CASE WHEN status = 'accepted' THEN coalesce(m
 PUBLISHED = f"{ONE}, {O.confirmed(SEEDS, 'td1')}, {_STATUS}"
 
 
-@query(PUBLISHED + " SELECT term, round, status, reviewed_by, channel FROM st")
+@query(PUBLISHED + f" SELECT term, round, status, reviewed_by, channel, CASE WHEN term IN ({', '.join(O.q(t) for t, *_ in PRIOR)}) THEN 'kept' ELSE channel END AS note FROM st UNION ALL SELECT term, 1, status, reviewed_by, NULL, 'kept' FROM (VALUES {O.values(PRIOR)}) AS v(term, status, reviewed_by) WHERE term NOT IN (SELECT term FROM st)")
 def status_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _published(spark, sf_dir)[0].select("term", "round", "status", "reviewed_by", "channel")
+    return _published(spark, sf_dir)[0].read("terms").select("term", "round", "status", "reviewed_by", "channel", "note")
 
 
 @query(PUBLISHED + " SELECT term, round, channel, coalesce(parent_term, '(seed)') AS parent_term, reviewed_by, doc_freq AS releases_matched FROM freq WHERE status = 'accepted'")
 def accepted_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.accepted_keywords(_published(spark, sf_dir)[0])
+    return _views(spark, sf_dir)["v_accepted_keywords"]
 
 
 @query(PUBLISHED + " SELECT t.term, any_value(t.round) AS round, any_value(t.channel) AS channel, any_value(coalesce(t.parent_term, '(seed)')) AS parent_term, count(m.relid) AS releases_matched, sum(m.match_count) AS total_mentions FROM freq t LEFT JOIN matches m ON m.term = t.term WHERE t.status = 'accepted' GROUP BY t.term")
 def keyword_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms, matches, _ = _published(spark, sf_dir)
-    return publish.keyword_yield(terms, matches)
+    return _views(spark, sf_dir)["v_keyword_yield"]
 
 
 @query(PUBLISHED + " SELECT left(r.release_date, 4) AS year, count(DISTINCT m.relid) AS ai_releases, count(*) AS ai_mentions FROM matches m JOIN docs r USING (relid) GROUP BY 1 UNION ALL SELECT 'TOTAL', count(DISTINCT relid), count(*) FROM matches")
 def hits_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, matches, docs = _published(spark, sf_dir)
-    return publish.hits_by_year(matches, docs)
+    return _views(spark, sf_dir)["v_hits_by_year"]
 
 
 @query(PUBLISHED + " SELECT relid, any_value(r.release_date) AS release_date, any_value(r.ministry_raw) AS ministry_raw, any_value(r.title) AS title, count(m.term) AS n_terms, string_agg(m.term, ' | ' ORDER BY m.term) AS matched_terms FROM matches m JOIN docs r USING (relid) GROUP BY relid")
 def ai_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, matches, docs = _published(spark, sf_dir)
-    return publish.pool(matches, docs)
+    return _views(spark, sf_dir)["v_ai_pool"]
 
 
 @query(PUBLISHED + " SELECT parent_term AS seed, term AS extended_term, round, channel, status, doc_freq AS releases_matched FROM freq WHERE round >= 1 AND parent_term IS NOT NULL")
 def expansion_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.expansion_tree(_published(spark, sf_dir)[0])
+    return _views(spark, sf_dir)["v_expansion_tree"]
+
+
+@query(PUBLISHED + " SELECT parent_term AS seed, term AS extended_term, channel, doc_freq AS releases_matched FROM freq WHERE round >= 1 AND parent_term IS NOT NULL AND status = 'candidate' AND doc_freq >= 15")
+def candidates_worth_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.worth_reading(_views(spark, sf_dir)["v_expansion_tree"])
+
+
+@query(PUBLISHED + " SELECT term, relid, match_count, first_offset FROM matches")
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir)[0].read("term_matches")
+
+
+@query(PUBLISHED + " SELECT child_term, parent_term, round, docs_in_parent FROM edges1")
+def stored_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir)[0].read("term_parents")
+
+
+EARLIER = (("que", 2, "que la", "editor"), ("that the", 1, "x", "editor"), ("thon", 0, None, None), ("MIT LICENSE", 1, None, "editor"))
+
+
+@query(O.expansion(SEEDS[:2], 1, EARLIER) + ' SELECT term, pos, round, kind, "primary" FROM terms1')
+def expand_from_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round 0 takes two seeds and, after them by name, terms accepted earlier; those that are seeds in another case don't count twice."""
+    accepted = spark.createDataFrame(list(EARLIER), "term string, round int, parent_term string, reviewed_by string")
+    return X.expand(_docs(spark, sf_dir), X.Params(seeds=SEEDS[:2], rounds=1, near=False), accepted).terms
 
 
 @query(O.expansion(SEEDS, 2).replace("WITH ", "WITH RECURSIVE ", 1) + """, tn AS (SELECT t.*, coalesce(d.n, 0) AS n FROM terms2 t LEFT JOIN (SELECT term, count(*) AS n FROM td2 GROUP BY 1) d USING (term)),
@@ -341,9 +370,9 @@ def crawl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.routed(tables.stored_responses(spark, sf_dir)).groupBy("parse_status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(O.paced(60.0) + " SELECT session, relid, rate, ceiling, event, slow_run, stopped FROM walk WHERE k > 0")
 def governor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(tables.stored_responses(spark, sf_dir), spell=60.0)
+    return replay.replay(tables.stored_responses(spark, sf_dir), replay.Limits(spell=60.0))
 
 
 @query(f"WITH {O.RESPONSES} SELECT session, relid, median(elapsed_ms) OVER (PARTITION BY session ORDER BY relid ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS recent FROM log")

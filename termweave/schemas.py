@@ -18,3 +18,9 @@ CLASSIFICATIONS = (
     "technology_type string, beneficiary_scale string, budget_mentioned string, evidence_quote string, evidence_start int, evidence_end int, confidence double"
 )
 CRAWL_SESSIONS = "session_id string, started_at string, finished_at string, range_lo long, range_hi long, attempted int, ok int, absent int, failed int, notes string"
+
+#: What a store holds.
+TABLES = {
+    "fetch_log": FETCH_LOG, "releases": RELEASES, "ministries": MINISTRIES, "ministry_aliases": MINISTRY_ALIASES, "terms": TERMS, "term_matches": TERM_MATCHES, "term_parents": TERM_PARENTS,
+    "classification_runs": CLASSIFICATION_RUNS, "classifications": CLASSIFICATIONS, "crawl_sessions": CRAWL_SESSIONS,
+}

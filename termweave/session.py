@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -43,17 +46,28 @@ def share_code(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_code(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, least: int = 8 << 20) -> DataFrame:
+    """A table of some size whose few files would leave cores idle, dealt to all of them; larger tables, which split, as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    query = df._jdf.queryExecution()
+    small = int(str(query.optimizedPlan().stats().sizeInBytes())) < least
+    return df if small or query.toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one, deleted at exit, where that is unset and all runs in one process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _OWN:
         _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="termweave-")
+        atexit.register(shutil.rmtree, _OWN[sc.applicationId], ignore_errors=True)
     return _OWN[sc.applicationId]
 
 
@@ -71,6 +85,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """A result of about so many rows in as many partitions as these need, if it has more: small steps are mostly tasks' overhead."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table that ``written`` made and that nothing reads any more."""
     spark = df.sparkSession

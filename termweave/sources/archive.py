@@ -4,14 +4,14 @@ Ids are dealt to tasks in ranges; each task keeps one connection, follows no red
 min(30, 2^attempt) times ``backoff`` seconds. A page that can't be had gives a row with a null status and the error, so
 a run always accounts for every id.
 
-Options: host, path (with {id}), low, high, parts (1), tries (4), timeout (30), backoff (1), scheme (https).
+Options: host, path (with {id}), low, high or ids (joined by commas), parts (1), tries (4), timeout (30), backoff (1), scheme (https).
 """
 
 from __future__ import annotations
 
 import http.client
 import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -22,8 +22,7 @@ RESPONSES = "relid long, url string, http_status int, body binary, elapsed_ms in
 
 @dataclass
 class Ids(InputPartition):
-    low: int
-    high: int
+    ids: Sequence[int]
 
 
 class NumberedPages(DataSource):
@@ -44,14 +43,15 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Ids]:
         low, high, n = (int(self.options.get(k, d)) for k, d in (("low", 1), ("high", 0), ("parts", 1)))
-        step = max(1, -(-(high - low + 1) // n))
-        return [Ids(a, min(a + step - 1, high)) for a in range(low, high + 1, step)] or [Ids(1, 0)]
+        ids = [int(x) for x in self.options["ids"].split(",")] if self.options.get("ids") else range(low, high + 1)
+        step = max(1, -(-len(ids) // n))
+        return [Ids(ids[a : a + step]) for a in range(0, len(ids), step)] or [Ids(())]
 
     def read(self, partition: Ids) -> Iterator[tuple]:
         o = self.options
         kind = http.client.HTTPConnection if o.get("scheme") == "http" else http.client.HTTPSConnection
         link = kind(o["host"], timeout=float(o.get("timeout", 30)))
-        for relid in range(partition.low, partition.high + 1):
+        for relid in partition.ids:
             path = o.get("path", "/{id}").replace("{id}", str(relid))
             yield (relid, f"{o.get('scheme', 'https')}://{o['host']}{path}", *self._get(link, path))
         link.close()

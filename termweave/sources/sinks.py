@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +34,31 @@ def add_column(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 
 
+def json_text(values: Sequence[str]) -> str:
+    return json.dumps(list(values))
+
+
+def json_list(values: Column) -> Column:
+    """An array of strings as JSON text, a space after each comma."""
+    inner = F.transform(values, lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1))
+    return F.concat(F.lit("["), F.array_join(inner, ", "), F.lit("]"))
+
+
+def to_edge(df: DataFrame) -> DataFrame:
+    """Arrays of strings as JSON text, for stores and readers that know no arrays."""
+    return df.withColumns({c: json_list(F.col(c)) for c, t in df.dtypes if t == "array<string>"})
+
+
+def from_edge(df: DataFrame, *columns: str) -> DataFrame:
+    """The same back."""
+    return df.withColumns({c: F.from_json(c, "array<string>") for c in columns})
+
+
+def percent(value: Column) -> Column:
+    """With two decimals, as reports have it."""
+    return F.format_string("%.2f", value)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A report with a header row; reports are small, as they have a row for each term or summed line."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -14,7 +14,7 @@ ROWS = "relid long, title string, heading string, body_text string"
 
 def hits(spark, term, title, body=""):
     df = spark.createDataFrame([(1, title, None, body)], ROWS)
-    one = match.phrase_hits(df, [term]).count()
+    one = match.phrase_hits(match.indexed(df), [term]).count()
     assert one == match.phrase_hits_by_gram(match.indexed(df), spark.createDataFrame([(term,)], "term string")).count()
     return one
 
@@ -92,7 +92,7 @@ def test_names_near(text, names):
 
 def test_names_near_as_a_channel(spark):
     rows = spark.createDataFrame([(1, "the AI based Divya Sagar tool"), (2, None)], "relid long, text string")
-    found = mine.candidates(rows, ["AI"]).where("kind = 'near name'").collect()
+    found = mine.candidates(rows, ["AI"]).where("kind = 'near-AI name'").collect()
     assert [(r.key, r.relid) for r in found] == [("divya sagar", 1)]
 
 
