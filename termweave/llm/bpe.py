@@ -6,8 +6,9 @@ minimum rank, found by a hashed lookup of pairs, and the rows that have no pair
 ``LONG`` bytes go through a heap instead, with the same merges in the same order, as a matrix row would cost the square
 of its length.
 
-Defined cases: a null text is encoded as the empty one (no ids); repeated rows give the same ids. Other columns of the
-input stay out of the result.
+Defined cases: a null text is encoded as the empty one (no ids); repeated rows give the same ids; an empty table gives
+none. Very long texts are encoded whole, one at a time; other texts in lots of a bounded number of characters. Other
+columns of the input stay out of the result.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from termweave.llm.wordspans import Lookup
 
 LONG = 1024
-#: Distinct pieces that a task keeps between batches; a matter of memory, not of results.
-KEEP = 300_000
+#: Distinct pieces, and characters of them, that a task keeps between batches; a matter of memory, not of results.
+KEEP, KEEP_CHARS = 300_000, 16 << 20
 NONE = np.int32(2**31 - 1)
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -38,10 +39,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Numbered(dict):
-    """Gives each new key the next number."""
+    """Gives each new key the next number, and lists those not taken yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
@@ -61,7 +66,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.flat, self.size, self.known = _Numbered(), [], np.zeros(0, np.int64), 0
+        self.number, self.size, self.chars = _Numbered(), np.zeros(0, np.int64), 0
         self.ids = np.zeros(0, np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -146,16 +151,16 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text."""
-        if len(self.number) > KEEP:
+        if len(self.number) > KEEP or self.chars > KEEP_CHARS:
             self.forget()
         numbers = [np.array(list(map(self.number.__getitem__, self.split.findall(t or ""))), np.int64) for t in texts]
-        if len(self.number) > self.known:
-            fresh = [p.encode() for p in list(self.number)[self.known :]]
-            done = self.pieces(fresh)
+        if self.number.new:
+            self.chars += sum(map(len, self.number.new))
+            done = self.pieces([p.encode() for p in self.number.new])
+            self.number.new.clear()
             self.size = np.concatenate([self.size, np.array([len(x) for x in done], np.int64)])
             self.ids = np.concatenate([self.ids, *done])
             self.first = np.cumsum(self.size) - self.size
-            self.known = len(self.number)
         out = []
         for k in numbers:
             n = self.size[k]

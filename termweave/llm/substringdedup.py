@@ -5,8 +5,9 @@ after words chosen by their own hash, so that the places don't depend on what st
 sentence runs the shortest span of at least two sentences and ``MIN_WORDS`` words, and another such ends with the text. Spans are hashed and grouped over all
 documents, and every sentence that a span covers which isn't the first with its hash, by doc_id and then place, goes.
 
-Each task removes repeats among its own spans first, so a passage that stands in a third of all rows reaches the
-grouping at most once from each batch.
+Each batch marks repeats among its own spans, which need no partner any more, so a passage that stands in a third of all
+rows reaches the grouping at most once from each batch; there its rows are ranked by a sort, which holds none of them.
+Runs of one repeated word or line within a text are repeats like others. A run of under ``MIN_WORDS`` words is no passage.
 
 Defined cases: a null text has no sentences and stays null; the empty text stays empty; texts without a repeated span
 stay byte for byte. Rows with the same doc_id and text count as one document and are treated alike; null doc_ids sort
