@@ -7,7 +7,8 @@
 5. byte_bpe: every text is encoded and decoded; returns digests.
 
 Nulls in doc_id, lang, source and n_chars, empty tables and further columns pass through; a null text has no letter and
-goes in the first stage. Stages but the last return the columns they were given.
+goes in the first stage. Of repeated rows, and of copies, the one of the smallest doc_id stays; among equal ones any, as
+they are alike. Very long texts are worked on whole. Stages but the last return the columns they were given.
 """
 
 from __future__ import annotations

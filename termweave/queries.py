@@ -321,6 +321,14 @@ def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), (F.count_if(F.col("n_chars") > 1000) * 100.0 / F.count("*")).alias("pct_long"))
 
 
+@query("""SELECT lang, count(*) AS systems, count(DISTINCT source) AS bodies, count(*) FILTER (WHERE quality = 1) * 100.0::DOUBLE / count(*) AS pct_working
+FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY 1""")
+def domain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systems and distinct bodies of each domain, and the share that works."""
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read_table(spark, sf_dir, "labels").where("toxic = 0"), "doc_id")
+    return rows.groupBy("lang").agg(F.count("*").alias("systems"), F.countDistinct("source").alias("bodies"), (F.count_if(F.col("quality") == 1) * 100.0 / F.count("*")).alias("pct_working"))
+
+
 @query(f"SELECT page_id, {O.to_text('html')} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", H.to_text(F.col("html")).alias("text"))
@@ -346,9 +354,11 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("relid"), "url", F.octet_length("html").alias("byte_size"), F.sha2("html", 256).alias("content_sha256"))
 
 
-@query("SELECT relid FROM range(1, 1001) t(relid) WHERE relid NOT IN (SELECT page_id FROM pages) ORDER BY relid DESC LIMIT 100")
+@query("SELECT relid FROM range(1, (SELECT max(page_id) + 501 FROM pages)) t(relid) WHERE relid NOT IN (SELECT page_id FROM pages WHERE page_id % 7 <> 3) ORDER BY relid DESC LIMIT 1000")
 def resume_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.id_queue(spark, 1, 1000, limit=100, seen=read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("relid")))
+    """The next 1000 ids, newest first, up to 500 beyond the last page, as if a seventh of the pages were still to be had."""
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("relid"))
+    return tables.id_queue(spark, 1, pages.agg(F.max("relid")).first()[0] + 500, limit=1000, seen=pages.where("relid % 7 <> 3"))
 
 
 @query("SELECT user_id, event_id, event_type, CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")

@@ -9,7 +9,7 @@ from termweave.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata"
 #: Queries that are also run where the window holds documents, which it doesn't on the smallest tables.
-LARGER = ("seed_yield", "phrase_match_by_gram", "confirm_vs_index", "round_summary", "terms_all", "releases_pool", "ai_pool", "topk_phrases_per_parent")
+LARGER = ("seed_yield", "phrase_match_by_gram", "confirm_vs_index", "round_summary", "terms_all", "releases_pool", "ai_pool", "topk_phrases_per_parent", "governor_replay", "keyword_yield", "expand_from_accepted", "candidates_worth_reading", "resume_queue")
 TABLES = "documents pages events labels benchmark".split()
 
 

@@ -1,11 +1,15 @@
+import itertools
+import random
 import re
+import sqlite3
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from termweave.constants import STOP
+from termweave.constants import HONORIFIC, OFFICE, STOP
 from termweave.functions import text as T
 from termweave.operators import match, mine
 
@@ -100,3 +104,71 @@ def test_excerpt_and_urls(spark):
     df = spark.createDataFrame([("see https://x.y/z?a=1 the  smart\n city www.a.b end",)], "t string")
     row = df.select(T.without_urls("t").alias("u"), T.excerpt("t", "smart city", 6).alias("e")).first()
     assert row.u == "see   the  smart\n city   end" and row.e == "the smart city www.a"
+
+
+def test_phrases_agree_with_a_full_text_index(spark):
+    """The phrase match against an FTS5 table with the same columns."""
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE f USING fts5(title, heading, body_text, tokenize='unicode61 remove_diacritics 2')")
+    except sqlite3.OperationalError:
+        pytest.skip("this sqlite has no FTS5")
+    docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text IS NOT NULL ORDER BY 1").fetchall()
+    odd = ["Café-society CAFE society", "a.i. and AI", "smart_city Smart  City", "x\nsmart\ncity", "ÀÉÎ aei", "naïve façade", "", "don't stop", "GPT-4 gpt 4", "that\tthe"]
+    rows = [(i, t[:20], "", t) for i, t in [*docs, *enumerate(odd, 1_000_000)]]
+    con.executemany("INSERT INTO f (rowid, title, heading, body_text) VALUES (?, ?, ?, ?)", rows)
+    terms = ["AI", "smart city", "that the", "cafe society", "naive", "don t", "gpt 4", "que", "thon", "fur", "aei"]
+    want = {(t, i) for t in terms for (i,) in con.execute("SELECT rowid FROM f WHERE f MATCH ?", (f'"{t}"',))}
+    index = match.indexed(spark.createDataFrame(rows, "relid long, title string, heading string, body_text string"))
+    assert {(r.term, r.relid) for r in match.phrase_hits(index, terms).collect()} == want
+    assert {(r.term, r.relid) for r in match.phrase_hits_by_gram(index, spark.createDataFrame([(t,) for t in terms], "term string")).collect()} == want
+
+
+FOLLOW = {*"platform portal system systems app application tool toolkit mission model engine dashboard chatbot bot software module suite framework initiative scheme programme program project solution technology".split()}
+
+
+def plain_near(text, terms, reach=120):
+    """Names near a term by walking over characters: no pattern is shared with the operator."""
+    word = lambda c: c.isalnum() or c == "_"
+    out = []
+    for term in terms:
+        low, at = text.lower(), 0
+        while (at := low.find(term.lower(), at)) >= 0:
+            end = at + len(term)
+            if (at == 0 or not word(text[at - 1])) and (end == len(text) or not word(text[end])):
+                around = text[max(0, at - reach) : end + reach]
+                for name in capitalised(around):
+                    rest = around[around.find(name) + len(name) :].lstrip(" ,.'’()")
+                    head = "".join(itertools.takewhile(word, rest)).lower()
+                    parts = name.lower().split()
+                    bare = len(parts) == 1 and (name.rstrip("s").isupper() or name.isupper()) and name.isalpha() and len(name.rstrip("s")) in range(2, 7)
+                    if head in FOLLOW and parts[0] not in HONORIFIC | STOP and parts[-1] not in STOP and not OFFICE & {*parts} and not bare and not name.startswith(("MoS", "DoN", "DeptX")):
+                        out.append(name)
+                at = end
+            else:
+                at += 1
+    return out
+
+
+def capitalised(text):
+    """Runs of up to four words that begin with A-Z and go on with two or more letters or digits, with white space alone between."""
+    good = lambda w: len(w) >= 3 and "A" <= w[0] <= "Z" and all(c.isascii() and c.isalnum() for c in w)
+    cut = [(k, "".join(g)) for k, g in itertools.groupby(text, lambda c: 0 if c.isalnum() or c == "_" else 1 if c.isspace() else 2)]
+    out, run = [], []
+    for k, piece in [*cut, (2, "")]:
+        if k == 0 and good(piece) and len(run) < 4:
+            run.append(piece)
+        elif k == 0 or k == 2:
+            if run:
+                out.append(" ".join(run))
+            run = [piece] if k == 0 and good(piece) else []
+    return out
+
+
+def test_names_near_a_term_against_a_walk():
+    r = random.Random(6)
+    pool = "AI the Kisan Sathi Mobile platform of Shri Modi Ministry system, MIS NITI portal. Bhashini Digital App (tool) and Umang's model Aadhaar9 X engine".split()
+    for _ in range(300):
+        text = " ".join(r.choice(pool) for _ in range(60))
+        patterns = [re.compile(r"\bAI\b", re.I), re.compile(r"\bof\b", re.I)]
+        assert [x["surface"] for x in T.names_near(text, patterns)] == plain_near(text, ["AI", "of"])
