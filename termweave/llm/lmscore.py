@@ -21,7 +21,7 @@ returned. Other columns of the input stay out of the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,7 @@ BITS, PROBES = 16, 5
 AT_ONCE = 2_000_000
 #: Training tokens for each segment, which bounds its size and what is gathered to build it.
 SEGMENT_TOKENS = 1_500_000
-PASS_BYTES = 128 << 20
+PASS_BYTES = 96 << 20
 START, END = np.uint64(0x51), np.uint64(0xE1)
 _B, _C = np.uint64(0xA24BAED4963EE407), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Exponents among which beta is sought.
@@ -86,10 +86,16 @@ class Filter:
     size: np.ndarray
 
     @classmethod
-    def of(cls, segments: dict[int, bytes], count: int) -> Filter:
+    def of(cls, sizes: dict[int, int], segments: Iterable[tuple[int, bytes]], count: int) -> Filter:
+        """sizes: bytes of each segment here; segments: one after the other, so no second copy of all is made."""
         size = np.zeros(count, np.uint64)
-        size[list(segments)] = [len(b) // 8 for b in segments.values()]
-        return cls(np.frombuffer(b"".join(segments[k] for k in sorted(segments)), np.uint64), np.cumsum(size) - size, size)
+        for k, n in sizes.items():
+            size[k] = n // 8
+        first = np.cumsum(size) - size
+        words = np.zeros(int(size.sum()), np.uint64)
+        for k, data in segments:
+            words[int(first[k]) : int(first[k] + size[k])] = np.frombuffer(data, np.uint64)
+        return cls(words, first, size)
 
     def level(self, key: np.ndarray) -> np.ndarray:
         """The level of each key, 0 for a key that isn't held, by probing level after level."""
@@ -278,15 +284,15 @@ def _score(texts: DataFrame, shared, here: list[int], first: bool) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, {PASS}")
 
 
-def _passes(found: DataFrame, room: int) -> list[list[int]]:
-    """Segments, as many at once as there is room for; one pass at least."""
-    out, left = [[]], room
-    for r in found.select("segment", F.length("filter").alias("n")).orderBy("segment").collect():
-        if r["n"] > left and out[-1]:
-            out.append([])
+def _passes(sizes: dict[int, int], room: int) -> list[dict[int, int]]:
+    """Segments and their sizes, as many at once as there is room for; one pass at least."""
+    out, left = [{}], room
+    for k in sorted(sizes):
+        if sizes[k] > left and out[-1]:
+            out.append({})
             left = room
-        out[-1].append(r["segment"])
-        left -= r["n"]
+        out[-1][k] = sizes[k]
+        left -= sizes[k]
     return out
 
 
@@ -307,14 +313,13 @@ def score(docs: DataFrame, held_out: Column, hot: int = HOT, pass_bytes: int = P
     h = np.concatenate([top["h"].to_numpy(np.int64).view(np.uint64), [START, END]])
     known = Known.of(h, np.concatenate([top["c"].to_numpy(np.int64), [ends, ends]]), spread, beta)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), held_out.alias("held_out"), "text")
-    passes = []
-    for here in _passes(found, pass_bytes):
-        filters = {r["segment"]: bytes(r["filter"]) for r in found.where(F.col("segment").isin(here)).select("segment", "filter").collect()} if here else {}
-        shared = sc.broadcast((known, Filter.of(filters, count)))
-        del filters
-        # bigrams of segments that nothing fell into are unknown to the first pass
-        empty = [] if passes else sorted({*range(count)} - {r["segment"] for r in found.select("segment").collect()})
-        passes.append(written(_score(texts, shared, here + empty, not passes), "scores"))
+    sizes = {r["segment"]: r["n"] for r in found.select("segment", F.length("filter").alias("n")).collect()}
+    # bigrams of segments that nothing fell into are unknown to the first pass
+    empty, passes = sorted({*range(count)} - sizes.keys()), []
+    for here in _passes(sizes, pass_bytes):
+        rows = found.where(F.col("segment").isin([*here])).select("segment", "filter").toLocalIterator() if here else ()
+        shared = sc.broadcast((known, Filter.of(here, ((r["segment"], r["filter"]) for r in rows), count)))
+        passes.append(written(_score(texts, shared, [*here] if passes else [*here, *empty], not passes), "scores"))
         shared.destroy()
     remove(found)
     return _total(passes, ones, n, spread, beta)

@@ -176,7 +176,8 @@ def test_language_edge_cases():
 def test_bloom_levels():
     r = np.random.default_rng(1)
     key, level = r.integers(0, 2**63, 3000, dtype=np.uint64) | np.uint64(1), r.integers(1, 9, 3000)
-    f = lmscore.Filter.of({1: lmscore.build(key, level)}, 2)
+    data = lmscore.build(key, level)
+    f = lmscore.Filter.of({1: len(data)}, [(1, data)], 2)
     got = f.level(key)
     assert (got >= level).all() and (got > level).mean() < 0.02
     other = r.integers(0, 2**63, 20000, dtype=np.uint64)
