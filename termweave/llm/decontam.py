@@ -9,9 +9,10 @@ longest common subsequence of words covers ``WHOLE`` of the item, or, as a parap
 its answer, which is its last sentence.
 
 The latent space has the benchmark's words only, without those in over ``STOP`` of the distinct items, but always with
-the ``RAREST`` rarest words of each. What can't be accepted is not compared: a subsequence of ``PART`` of an item's n
-words leaves out at most (1 - PART) n of them, so of its f features f - (1 - PART) n stand in the window with its margins,
-and a third of these in some window. Sums over windows are of whole numbers, so they don't depend on the texts around.
+the ``RAREST`` rarest words of each. The search proper is approximate: a window is looked at if it holds ``SHARE`` as
+many of these words as the item, and passes by its cosine. What can't be accepted is not compared word by word: a
+subsequence of ``PART`` of an item's n words leaves out at most (1 - PART) n of them, so of its f features f - (1 - PART) n
+stand in the window with its margins. Sums and products are of whole numbers, so they don't depend on the texts around.
 Items are taken in blocks of ``BLOCK``, which bounds what is broadcast and gathered: a block's words times the rank.
 
 Defined cases: null and empty texts, and items without words, match nothing. Of equal items each is reported. Repeated
@@ -38,8 +39,10 @@ PASSAGE = 64
 RANK, EXTRA = 24, 8
 COSINE = 0.6
 STOP = 0.08
-#: Steps of the latent coordinates.
-STEP = 2.0**-20
+#: A window is looked at if it holds this share of an item's number of features, be they its own or not.
+SHARE = 0.6
+#: Steps of the latent coordinates, and of unit vectors: sums of 24 products of these are exact in single precision.
+STEP, UNIT = 2.0**-14, 2.0**-11
 #: So many words of every item are features however many items they are in, so that each item is searched.
 RAREST = 8
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
@@ -192,11 +195,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 class Searcher:
     def __init__(self, items: Items, space: np.ndarray, cosine: float = COSINE) -> None:
-        space = np.rint(space.astype(np.float64) / STEP)
+        space = np.rint(space / STEP).astype(np.int32)
         self.items, self.space, self.cosine = items, space, cosine
         at = np.array([space[f].sum(0) if len(f) else np.zeros(space.shape[1]) for f in items.features]).reshape(len(items.ids), -1)
-        self.unit = at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
-        self.unit32 = self.unit.astype(np.float32)
+        self.unit = np.rint(at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12) / UNIT).astype(np.float32)
         size = np.array([len(s) for s in items.seq])
         self.size, self.n_features = size, np.array([len(f) for f in items.features])
         #: So many of an item's features at least stand in whatever is accepted for it.
@@ -220,33 +222,25 @@ class Searcher:
             return
         doc = w.doc[at]
         text_end = np.searchsorted(w.doc, doc, "right")
-        total = np.zeros((len(at) + 1, self.space.shape[1]))
-        np.cumsum(self.space[f[at]], 0, out=total[1:])
+        total = np.zeros((len(at) + 1, self.space.shape[1]), np.int32)
+        np.cumsum(self.space[f[at]], 0, out=total[1:])  # may pass the range of int32, but differences come out right
         for length, which in self.groups.items():
             end = np.searchsorted(at, np.minimum(at + length, text_end))
-            some = np.flatnonzero(3 * (end - np.arange(len(at))) >= self.needed[which].min())
-            if not len(some):
-                continue
-            x = total[end[some]] - total[some]
-            norm = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x), 1e-24))
-            # a first look in single precision, whose last digits depend on how many windows there are
-            dot = (x / norm[:, None]).astype(np.float32) @ self.unit32[which].T
-            k, i = np.divmod(np.flatnonzero(dot >= self.cosine - 1e-5), len(which))
-            full = 3 * (end[some] - some)[k] >= self.needed[which[i]]
-            k, i = k[full], i[full]
-            value = np.einsum("ij,ij->i", x[k], self.unit[which[i]]) / norm[k]
-            k, i, value = (y[value >= self.cosine] for y in (k, i, value))
-            if not len(k):
+            least = SHARE * self.n_features[which]
+            some = np.flatnonzero(end - np.arange(len(at)) >= least.min())
+            parts = [self._passing(total, some[lo : lo + AT_ONCE], end, which, least) for lo in range(0, len(some), AT_ONCE)]
+            if not sum(len(k) for k, _, _ in parts):
                 continue
+            k, i, value = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((k, i))
             k, i, value = k[order], i[order], value[order]
-            start = at[some[k]]
-            new = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[some[k[1:]]] != doc[some[k[:-1]]]) | (start[1:] - start[:-1] > length // 2)))
+            start = at[k]
+            new = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[k[1:]] != doc[k[:-1]]) | (start[1:] - start[:-1] > length // 2)))
             run = np.cumsum(new) - 1
             order = np.lexsort((-value, run))
             for lo in range(0, len(order), AT_ONCE):
                 best = order[lo : lo + AT_ONCE]
-                row, item, begin, cos, number = some[k[best]], which[i[best]], start[best], value[best], run[best]
+                row, item, begin, cos, number = k[best], which[i[best]], start[best], value[best], run[best]
                 # how many of the item's own words stand in the window and its margins
                 size = self.size[item]
                 first, last = np.searchsorted(at, begin - size // 2), np.searchsorted(at, begin + size + size // 2)
@@ -256,6 +250,17 @@ class Searcher:
                 full = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) >= self.needed[item]
                 yield from (((length, r), *x) for r, *x in zip(number[full].tolist(), doc[row[full]].tolist(), item[full].tolist(), begin[full].tolist(), cos[full].tolist()))
 
+    def _passing(self, total: np.ndarray, some: np.ndarray, end: np.ndarray, which: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place in which, cosine) of the pairs of these windows and items that pass."""
+        x = (total[end[some]] - total[some]).astype(np.float32)
+        norm = np.sqrt(np.maximum(np.einsum("ij,ij->i", x, x), 1e-12))
+        x = np.rint(x * (1 / UNIT / norm)[:, None].astype(np.float32))
+        dot = x @ self.unit[which].T * np.float32(UNIT**2)
+        k, i = np.divmod(np.flatnonzero(dot >= np.float32(self.cosine)), len(which))
+        full = (end[some] - some)[k] >= least[i]
+        k, i = k[full], i[full]
+        return some[k], i, dot[k, i]
+
     def __call__(self, texts: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         for lo, hi in chunks(texts):

@@ -39,12 +39,12 @@ SELF_ENDING = frozenset("p li dd dt tr td th option".split())
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre table figcaption".split())
 #: Roles, and names in class or id, of what isn't the article; a name may stand between a place and parts.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-PLACES = "site page main top bottom left right global primary secondary user reader post blog web mobile"
-PARTS = "box container wrapper wrap area block section list item bar banner slot unit top bottom left right inner outer content notice consent popup panel message form links menu thread posts articles stories buttons widget"
+PLACES = "site page main top bottom left right global primary secondary user reader article entry post blog web mobile"
+PARTS = "box container wrapper wrap area block section list item bar banner slot unit top bottom left right inner outer content notice consent popup panel message form links menu thread posts articles stories buttons widget media icons policy"
 NAMES = (
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs "
     "footer masthead topbar header cookie cookies gdpr notice notices disclaimer popup modal overlay comment comments commentlist reply replies respond disqus "
-    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget widgets pagination pager toolbar banner"
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget widgets pagination pager toolbar banner banners alert alerts copyright consent"
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|"
@@ -52,7 +52,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-NAME = re.compile(f"(?:(?:{PLACES.replace(' ', '|')})-)?(?:{NAMES.replace(' ', '|')})(?:-(?:{PARTS.replace(' ', '|')}|[0-9]+))*")
+NAME = re.compile(f"(?:(?:{PLACES.replace(' ', '|')})-)?(?:{NAMES.replace(' ', '|')})(?:-(?:{PARTS.replace(' ', '|')}|{NAMES.replace(' ', '|')}|[0-9]+))*")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
