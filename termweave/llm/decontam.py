@@ -237,18 +237,28 @@ class Searcher:
             start = at[k]
             new = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[k[1:]] != doc[k[:-1]]) | (start[1:] - start[:-1] > length // 2)))
             run = np.cumsum(new) - 1
-            order = np.lexsort((-value, run))
-            for lo in range(0, len(order), AT_ONCE):
-                best = order[lo : lo + AT_ONCE]
-                row, item, begin, cos, number = k[best], which[i[best]], start[best], value[best], run[best]
-                # how many of the item's own words stand in the window and its margins
-                size = self.size[item]
-                first, last = np.searchsorted(at, begin - size // 2), np.searchsorted(at, begin + size + size // 2)
-                n = last - first
-                each = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                hit = self.own[np.repeat(item, n), f[at[each]]] & (doc[each] == np.repeat(doc[row], n))
-                full = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n) >= self.needed[item]
-                yield from (((length, r), *x) for r, *x in zip(number[full].tolist(), doc[row[full]].tolist(), item[full].tolist(), begin[full].tolist(), cos[full].tolist()))
+            # a window moved by some words holds at most so many more of the item's, so one in each cell tells of all
+            stride = max(1, length // 6)
+            first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (start[1:] // stride != start[:-1] // stride))))
+            item = which[i]
+            may = self._own_words(f, at, doc, k[first], item[first]) + stride > self.needed[item[first]]
+            some = np.flatnonzero(np.repeat(may, np.diff(np.append(first, len(k)))))
+            some = some[self._own_words(f, at, doc, k[some], item[some]) >= self.needed[item[some]]]
+            for r in some[np.lexsort((-value[some], run[some]))].tolist():
+                yield (length, int(run[r])), int(doc[k[r]]), int(item[r]), int(start[r]), float(value[r])
+
+    def _own_words(self, f: np.ndarray, at: np.ndarray, doc: np.ndarray, k: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """How many of the item's own words stand in each window, begun at the k-th feature, and its margins."""
+        out = np.zeros(len(k), np.int64)
+        for lo in range(0, len(k), AT_ONCE):
+            begin, which = at[k[lo : lo + AT_ONCE]], item[lo : lo + AT_ONCE]
+            size = self.size[which]
+            first, last = np.searchsorted(at, begin - size // 2), np.searchsorted(at, begin + size + size // 2)
+            n = last - first
+            each = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            hit = self.own[np.repeat(which, n), f[at[each]]] & (doc[each] == np.repeat(doc[k[lo : lo + AT_ONCE]], n))
+            out[lo : lo + AT_ONCE] = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+        return out
 
     def _passing(self, total: np.ndarray, some: np.ndarray, end: np.ndarray, which: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, place in which, cosine) of the pairs of these windows and items that pass."""
