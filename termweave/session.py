@@ -85,9 +85,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def gathered(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
-    """A result of about so many rows in as many partitions as these need, if it has more: small steps are mostly tasks' overhead."""
-    return df.coalesce(max(1, -(-rows // each)))
+def gathered(df: DataFrame, rows: int, each: int = 50_000, most: int = 8) -> DataFrame:
+    """A result of about so many rows in as many partitions as these need, if it has more: small steps are mostly tasks' overhead.
+
+    At most ``most`` partitions become one, as a task keeps the buffers of all that it goes through until it ends.
+    """
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, -(-rows // each), -(-shuffled // most)))
 
 
 def remove(df: DataFrame) -> None:
