@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from termweave.llm.columns import fresh
 from termweave.llm.components import components
-from termweave.llm.wordspans import Words, chunks, mix, words
+from termweave.llm.wordspans import SMALL, Words, chunks, mix, release, words
 from termweave.session import gathered, remove, written
 
 #: A perfect difference set modulo 13; its shifts are the lines of the projective plane of order 3.
@@ -219,7 +219,7 @@ def profiles(texts: pa.Array, size: int, similarity: float, sets: int, frequent:
     """What near_copies needs of each text: a hash of its word sequence, fingerprints, number of shingles, bitmap, prefix."""
     node, fps, sizes, bits = [], [], [], []
     tokens: tuple[tuple[list, list], tuple[list, list]] = (([], []), ([], []))
-    for lo, hi in chunks(texts):
+    for lo, hi in chunks(texts, SMALL):
         w = words(texts.slice(lo, hi - lo))
         wh = w.hashes()
         data, start, end = spaced(w)
@@ -248,6 +248,7 @@ def _profile_udf(size: int, similarity: float, sets: int, shared):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield profiles(texts, size, similarity, sets, *shared.value)
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, PROFILE).asNondeterministic()
@@ -259,12 +260,13 @@ def _shingle_udf(size: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, SMALL):
                 w = words(texts.slice(lo, hi - lo))
                 h, row = _shingles(w, w.hashes(), size)
                 bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(row, minlength=hi - lo)))
                 out.append(h)
             yield pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<long>").asNondeterministic()

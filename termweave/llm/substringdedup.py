@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.columns import fresh, without
-from termweave.llm.wordspans import _STEP, Words, chunks, mix, powers, words
+from termweave.llm.wordspans import _STEP, SMALL, Words, chunks, mix, powers, release, words
 
 MIN_WORDS = 20
 LONG = 10
@@ -38,9 +38,9 @@ def sentences(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    breaks = np.concatenate(([0], np.cumsum(w.bytes == 10)))
+    breaks = np.flatnonzero(w.bytes == 10)
     after = np.concatenate((w.starts[1:], [len(w.bytes)]))
-    stop = np.isin(w.bytes[w.ends - 1], np.frombuffer(b".!?", np.uint8)) | (breaks[after] > breaks[w.ends]) | np.concatenate((w.doc[1:] != w.doc[:-1], [True]))
+    stop = np.isin(w.bytes[w.ends - 1], np.frombuffer(b".!?", np.uint8)) | (np.searchsorted(breaks, after) > np.searchsorted(breaks, w.ends)) | np.concatenate((w.doc[1:] != w.doc[:-1], [True]))
     ends = np.flatnonzero(stop) + 1
     size = np.diff(np.concatenate(([0], ends)))
     ends = np.flatnonzero(stop | (np.repeat(size, size) > LONG) & (h & CUT == 0)) + 1
@@ -78,7 +78,7 @@ def spans(w: Words, h: np.ndarray, first: np.ndarray, end: np.ndarray, min_words
 
 
 def _cut(texts: pa.Array, min_words: int) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for lo, hi in chunks(texts):
+    for lo, hi in chunks(texts, SMALL):
         w = words(texts.slice(lo, hi - lo))
         h = w.hashes()
         first, end = sentences(w, h)
@@ -100,6 +100,7 @@ def _find(min_words: int):
             # known repeats need no partner any more: a key of their own keeps them apart
             key = np.where(again, mix(h ^ mix(doc[row].astype(np.uint64) ^ (number.astype(np.uint64) << np.uint64(40)))), h)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(again), pa.array(doc[row]), pa.array(text[row]), pa.array(number.astype(np.int32))], names=["h", "again", "doc", "text_hash", "number"])
+        release()
 
     return run
 
@@ -142,6 +143,7 @@ def dedupe(docs: DataFrame, min_words: int = MIN_WORDS, count: str = "n_removed"
                 out.append(t)
                 n.append(removed)
             yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n, pa.int64())], ["text", "n"])
+        release()
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     doc, text_hash = _key()

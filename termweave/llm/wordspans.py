@@ -6,6 +6,7 @@ doesn't depend on how many rows a batch holds; one text is never divided.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 CHUNK = 2 << 20
+#: The same where each word takes many values.
+SMALL = 512 << 10
+#: Bytes of words that are hashed at once, or one word.
+PART = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -54,13 +59,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
         n = self.ends - self.starts
-        first = np.concatenate(([0], np.cumsum(n)[:-1]))
-        at = np.arange(int(n.sum())) - np.repeat(first, n)
-        value = _BYTES[self.bytes[at + np.repeat(self.starts, n)]] * powers(int(n.max()))[at]
-        return mix(np.add.reduceat(value, first) + n.astype(np.uint64))
+        done = np.concatenate(([0], np.cumsum(n)))
+        out = np.zeros(len(n), np.uint64)
+        lo = 0
+        while lo < len(n):
+            # some words at a time: several 64-bit values for each byte of all of them would be most of a worker's memory
+            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + PART, "right")) - 1)
+            size, first = n[lo:hi], done[lo:hi] - done[lo]
+            at = np.arange(int(done[hi] - done[lo])) - np.repeat(first, size)
+            value = _BYTES[self.bytes[at + np.repeat(self.starts[lo:hi], size)]] * powers(int(size.max()))[at]
+            out[lo:hi] = mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+            lo = hi
+        return out
 
     def counts(self) -> np.ndarray:
         """How many words each text has."""
@@ -101,6 +112,14 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def release() -> None:
+    """Give back to the system what finished batches held: a worker stays beside its executor's heap, idle or for later stages, after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others have none
+    if trim:
+        trim(0)
+
+
 class Lookup:
     """Distinct 64-bit keys to int32 values in an open-addressed numpy table; -1 where a key is missing."""
 

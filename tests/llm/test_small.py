@@ -1,6 +1,7 @@
 """Operators without Spark, against plain versions."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -207,6 +208,28 @@ def test_spans_do_not_depend_on_surroundings():
     assert found[0] & found[1] and found[0] & found[2]
 
 
+def test_spans_of_a_batch_take_bounded_memory():
+    r = random.Random(6)
+    names = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) + r.choice(["", "", "", ".", "\n"]) for _ in range(3000)]
+    texts = [" ".join(r.choices(names, k=350)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([0] * 2000, pa.int64()), pa.array(texts)], names=["doc", "text_hash", "text"])
+    tracemalloc.start()
+    for _ in substringdedup._find(20)(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9 * batch.nbytes
+
+
+def test_hashes_do_not_depend_on_how_many_are_made_at_once(monkeypatch):
+    w = wordspans.words(pa.array(["one two\nthree " + "long" * 40, None, "", "é 中 two " + "x" * 9]))
+    want = w.hashes()
+    for part in (1, 7, 20, 1 << 20):
+        monkeypatch.setattr(wordspans, "PART", part)
+        assert w.hashes().tolist() == want.tolist()
+    assert want[1] == want[6] and not len(wordspans.words(pa.array([None, ""], pa.string())).hashes())
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 48))
     y = ann.rotate(x, 2)
