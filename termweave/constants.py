@@ -45,6 +45,9 @@ SHAPES = (
     ("[A-Za-z]{3,}(?:bot|Bot)", "*bot"),
 )
 
+#: What a text with a name of each shape holds, one of these at least.
+SHAPE_PARTS = {"*GPT": ("GPT",), "Smart*": ("Smart",), "AI-*": ("AI",), "*Drishti": ("Drishti",), "*bot": ("bot", "Bot")}
+
 #: Months by full name and by their first three letters.
 MONTHS = "january february march april may june july august september october november december".split()
 

@@ -19,12 +19,20 @@ def reach(hits: DataFrame, matched: DataFrame, window_n: int, most: float) -> Da
     return counts.where((F.col("new") >= 1) & (F.col("corpus") <= most * window_n))
 
 
+def rated(rows: DataFrame, window_n: int, matched_n: int) -> DataFrame:
+    """rows (in_parent, parent_docs, new) with lift and share."""
+    rest = float(max(1, window_n - matched_n))
+    share = F.col("in_parent") / F.col("parent_docs")
+    return rows.withColumns({"lift": share / (F.col("new") / F.lit(rest)), "share": share})
+
+
+SCORED = ("parent", "key", "term", "kind", "in_parent", "corpus", "new", "lift", "share")
+
+
 def scored(support_: DataFrame, names: DataFrame, reach_: DataFrame, parent_sizes: DataFrame, window_n: int, matched_n: int) -> DataFrame:
     """parent, key, term, kind, in_parent, corpus, new, lift, share."""
-    rest = float(max(1, window_n - matched_n))
     rows = support_.join(names, "key").withColumnRenamed("surface", "term").join(reach_, "term").join(parent_sizes, "parent")
-    share = F.col("in_parent") / F.col("parent_docs")
-    return rows.select("parent", "key", "term", "kind", "in_parent", "corpus", "new", (share / (F.col("new") / F.lit(rest))).alias("lift"), share.alias("share"))
+    return rated(rows, window_n, matched_n).select(*SCORED)
 
 
 def taken(rows: DataFrame, least_lift: float, top: int) -> DataFrame:

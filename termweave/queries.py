@@ -51,8 +51,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("relid", T.document("title", "body_text").alias("text"))
 
 
-def _expand(spark: SparkSession, sf_dir: str, rounds: int) -> X.Expansion:
-    return X.expand(_docs(spark, sf_dir), X.Params(seeds=SEEDS, rounds=rounds, near=False))
+def _expand(spark: SparkSession, sf_dir: str, rounds: int, whole: bool = False) -> X.Expansion:
+    return X.expand(_docs(spark, sf_dir), X.Params(seeds=SEEDS, rounds=rounds, near=False), whole=whole)
 
 
 def _with(*parts: str) -> str:
@@ -140,12 +140,12 @@ ONE, TWO = O.expansion(SEEDS, 1), O.expansion(SEEDS, 2)
 
 @query(ONE + " SELECT parent, key, in_parent FROM support1")
 def candidate_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _expand(spark, sf_dir, 1).support
+    return _expand(spark, sf_dir, 1, whole=True).support
 
 
 @query(ONE + " SELECT parent, key, term, kind, in_parent, corpus, new, lift, share FROM scored1")
 def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _expand(spark, sf_dir, 1).scored
+    return _expand(spark, sf_dir, 1, whole=True).scored
 
 
 @query(ONE + " SELECT parent, key, grp, rank, lift FROM taken1")

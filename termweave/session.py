@@ -71,14 +71,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, rows: int = 0) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The table stays until ``remove(df)``, ``sweep(spark)`` or the folder's own retention.
+    rows: for large rows, so many or about 16 MB at once, as a reader holds a row group. The table stays until ``remove(df)``,
+    ``sweep(spark)`` or the folder's own retention.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    sized = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": rows, "parquet.page.size.row.check.max": rows} if rows else {}
+    df.write.options(**sized).parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
