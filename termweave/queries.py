@@ -131,7 +131,7 @@ def morph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def proximity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mine.candidates(_texts(spark, sf_dir), SEEDS).where(F.col("kind") == NEAR)
+    found = mine.names(_texts(spark, sf_dir).where(T.has_system("text")), SEEDS).where(F.col("kind") == NEAR)
     return found.select("key", "relid", "surface").distinct()
 
 

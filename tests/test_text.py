@@ -172,3 +172,16 @@ def test_names_near_a_term_against_a_walk():
         text = " ".join(r.choice(pool) for _ in range(60))
         patterns = [re.compile(r"\bAI\b", re.I), re.compile(r"\bof\b", re.I)]
         assert [x["surface"] for x in T.names_near(text, patterns)] == plain_near(text, ["AI", "of"])
+
+
+def test_names_near_without_phrases(spark):
+    """Texts without a word for a system are left out, and no phrase is made, with the same names; URLs go as before."""
+    r = random.Random(6)
+    pool = "AI the Kisan Sathi Mobile platform of Shri Modi ſystem MIS portal. Bhashini Digital App (tool) and Umang's model X engine HTTP://X.y/AI wWw.z AİTOOL".split()
+    rows = [(k, " ".join(r.choice(pool) for _ in range(30 if k % 2 else 3))) for k in range(120)] + [(999, None)]
+    texts = spark.createDataFrame(rows, "relid long, text string")
+    near = lambda df: sorted(tuple(x) for x in df.where("kind = 'near-AI name'").select("key", "relid", "surface").collect())
+    some = texts.where(T.has_system("text"))
+    assert near(mine.names(some, ["AI", "of"])) == near(mine.candidates(texts, ["AI", "of"])) != [] and some.count() < 121
+    assert "-gram" not in mine.names(some, ["AI"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not texts.where(~F.regexp_replace("text", T.URL, " ").eqNullSafe(T.without_urls("text"))).count()
