@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -522,3 +523,79 @@ def hashed_keys(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(batch.column(0).to_pylist())[0].view(np.int64))], ["h"])
 
     return keys.select("key").mapInArrow(run, "h long")
+
+
+#: Bytes of stored texts of a part, about, where phrases of texts are counted.
+PART_BYTES = 4 << 20
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """gram, df: in how many texts (text) each phrase of up to three tokens stands.
+
+    Counted by numpy in blocks, then by Arrow in parts that a hash deals out: phrases travel as bytes, not as rows, and are compared whole.
+    """
+    texts = texts.select("text")
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n_parts = max(2 * texts.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART_BYTES), 100_000))
+    out = pa.schema([("part", pa.int32()), ("grams", pa.binary()), ("sizes", pa.binary()), ("n", pa.binary())])
+
+    def count(filling: _Filling) -> pa.RecordBatch:
+        words = list(filling.number)
+        h1, h2 = _hashes(words)
+        kind = np.uint16 if len(words) <= 65535 else np.uint32
+        block = Block({"relid": np.array(filling.relid, np.int64).tobytes(), "h1": h1.tobytes(), "h2": h2.tobytes(), "flags": _word_flags(words).tobytes(), "mined": np.array(filling.mined, kind).tobytes(), "mined_n": np.array(filling.mined_n, np.int32).tobytes()})
+        key, n = np.unique(_distinct(block, *block.grams("mined", PLAIN | APART)), return_counts=True)
+        part = (block.hashed(key)[1] >> np.uint64(32)) % np.uint64(n_parts)
+        order = np.argsort(part.astype(np.uint16) if n_parts <= 65535 else part, kind="stable")
+        key, n, bounds = key[order], n[order].astype(np.int32), np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
+        names, (one, two, three) = pa.array(words, pa.large_string()), block.parts(key)
+        length = 1 + (two >= 0) + (three >= 0)
+        strings, places = [], []
+        for k in range(1, MOST + 1):
+            at = np.flatnonzero(length == k)
+            columns = [names.take(pa.array(c[at])) for c in (one, two, three)[:k]]
+            strings.append(pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string())) if k > 1 else columns[0])
+            places.append(at)
+        back = np.argsort(np.concatenate(places), kind="stable")
+        grams = pa.concat_arrays(strings).take(pa.array(back))
+        _, ends, data = grams.buffers()
+        ends, data = np.frombuffer(ends, np.int64)[: len(grams) + 1], np.frombuffer(data, np.uint8)
+        sizes = np.diff(ends).astype(np.int32)
+        had = [k for k in range(n_parts) if bounds[k] < bounds[k + 1]]
+        cut = [(int(bounds[k]), int(bounds[k + 1])) for k in had]
+        cells = [[data[ends[lo] : ends[hi]].tobytes() for lo, hi in cut], [sizes[lo:hi].tobytes() for lo, hi in cut], [n[lo:hi].tobytes() for lo, hi in cut]]
+        return pa.RecordBatch.from_arrays([pa.array(had, pa.int32()), *[pa.array(c, pa.binary()) for c in cells]], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filling = _Filling()
+        for batch in batches:
+            for text in batch.column(0):
+                filling.add(len(filling.relid), text.as_py() or "", (), None)
+                if filling.full(RELEASES):
+                    if filling.mined:
+                        yield count(filling)
+                    filling = _Filling()
+        if filling.mined:
+            yield count(filling)
+
+    def total(t: pa.Table) -> pa.Table:
+        glue = lambda c: b"".join(x.as_py() for x in t.column(c))
+        sizes = np.frombuffer(glue("sizes"), np.int32)
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        grams = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends.tobytes()), pa.py_buffer(glue("grams")))
+        n = pa.array(np.frombuffer(glue("n"), np.int32).astype(np.int64))
+        sums = pa.table({"gram": grams, "n": n}).group_by("gram").aggregate([("n", "sum")])
+        return pa.table({"gram": sums.column("gram").cast(pa.string()), "df": sums.column("n_sum")})
+
+    dealt = texts.mapInArrow(run, "part int, grams binary, sizes binary, n binary").repartition(n_parts, "part")
+    return dealt.groupBy("part").applyInArrow(total, "gram string, df long")
+
+
+def _distinct(block: Block, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Each run once for each release that it stands in."""
+    wide = max(1, len(block.relid)).bit_length()
+    if block.bits * MOST + wide <= 64:
+        return np.unique((key << np.uint64(wide)) | doc.astype(np.uint64)) >> np.uint64(wide)
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    return key[np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))] if len(key) else key

@@ -12,7 +12,7 @@ from termweave import oracle as O  # noqa: N812
 from termweave.constants import MINISTRIES, NEAR
 from termweave.functions import html as H  # noqa: N812
 from termweave.functions import text as T  # noqa: N812
-from termweave.operators import match, mine, publish
+from termweave.operators import blocks, match, mine, publish
 from termweave.plans import expand as X  # noqa: N812
 from termweave.plans import persist as P  # noqa: N812
 from termweave.schemas import TABLES
@@ -118,8 +118,7 @@ def excerpt_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT gram, count(*) AS df FROM ({O.grams_of('documents', 'text', 'doc_id')}) GROUP BY 1")
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return docs.select(F.explode(T.grams(T.tokens("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    return blocks.gram_counts(read_table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH x AS (SELECT -pos AS relid, t AS text FROM (VALUES {O.values([(k, t) for k, t in enumerate(NAMES, 1)])}) AS v(pos, t) UNION ALL SELECT doc_id, text FROM documents), s AS ({O.shapes_of('x')}) SELECT DISTINCT relid, lower(surface) AS key, kind FROM s WHERE length(surface) >= 3")

@@ -79,3 +79,11 @@ def test_plain_phrases_are_never_written_as_rows(spark):
     e = expand(spark.createDataFrame(rows, COLUMNS), Params(seeds=("robo",), rounds=2, max_df=0.5, near=False))
     made = {re.sub(r".*/([a-z_]+)-[0-9a-f]{32}$", r"\1", p) for p in set(session._WRITTEN[spark.sparkContext.applicationId]) - before}
     assert not made & {"postings", "hits", "index"} and {r.term for r in e.terms.collect()} >= {"robo", "zeta"}
+
+
+def test_gram_counts_are_those_of_rows(spark):
+    texts = releases(spark).select(F.col("body_text").alias("text"))
+    want = texts.select(F.explode(T.grams(T.tokens("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    got = B.gram_counts(texts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("gram like '%d''or%'").count()
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
